@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import language, lines
+from placewright.llm import language, licenses, lines, toxicity
 from placewright.llm.common import table
 
 
@@ -14,7 +14,15 @@ def op3_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language)}
+def op7_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_licenses(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language, op7_toxicity, op10_licenses)}
 
 SQL = {
     "op2_line_dedup": """
