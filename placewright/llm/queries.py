@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import language, licenses, lines, toxicity
+from placewright.llm import fingerprints, language, licenses, lines, toxicity
 from placewright.llm.common import table
 
 
@@ -18,11 +18,15 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language, op7_toxicity, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language, op7_toxicity, op9_fingerprints, op10_licenses)}
 
 SQL = {
     "op2_line_dedup": """
