@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import fingerprints, html, language, licenses, lines, toxicity
+from placewright.llm import contamination, fingerprints, html, language, licenses, lines, mixing, toxicity
 from placewright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_contamination(spark, sf_dir):
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html(spark, sf_dir):
     return html.digest(table(spark, sf_dir, "pages"))
 
@@ -22,6 +26,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.digest(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language, op6_html, op7_toxicity, op9_fingerprints, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_language, op5_contamination, op6_html, op7_toxicity, op8_mixing, op9_fingerprints, op10_licenses)}
 
 SQL = {
     "op2_line_dedup": """
