@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placewright.llm.common import cut
+
 LEAST_PAGES = 5
 SHARE = 0.2
 # HTML elements by their role.
@@ -246,7 +248,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     keyed = pages.select(*names).withColumn("_host", host("url"))
-    both = keyed.join(templates(pages).select(F.col("host").alias("_host"), F.col("marks").alias("_marks")), "_host", "left").drop("_host")
+    both = keyed.join(cut(templates(pages)).select(F.col("host").alias("_host"), F.col("marks").alias("_marks")), "_host", "left").drop("_host")
     return both.mapInArrow(run, T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
