@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placewright.llm import contamination, fingerprints, html, language, licenses, lines, mixing, ngram_join, toxicity
+from placewright.llm import contamination, fingerprints, html, language, licenses, lines, mixing, ngram_join, suffix_dedup, toxicity
 from placewright.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_contamination(spark, sf_dir):
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_licenses(spark, sf_dir):
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_language, op5_contamination, op6_html, op7_toxicity, op8_mixing, op9_fingerprints, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_language, op4_suffix_dedup, op5_contamination, op6_html, op7_toxicity, op8_mixing, op9_fingerprints, op10_licenses)}
 
 SQL = {
     "op1_ngram_join": """
