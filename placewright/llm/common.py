@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default, unless the user has set a number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/placewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -83,6 +92,7 @@ def smallest_hashed(df: DataFrame, group: str, k: int, seed: int, groups: int =
 
     At most ``groups`` values are allowed and about ``4 k`` ids a value reach the driver, at any input size.
     """
+    small_batches(df.sparkSession)
     sizes = df.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("n")).limit(groups + 1).collect()
     if len(sizes) > groups:
         raise ValueError(f"more than {groups} values of {group}")

@@ -5,13 +5,14 @@ A document's set is its distinct word shingles as 64-bit hashes. Documents of on
 sizes differ by the same share at most, and, under any one order of all shingles, they share one of the first
 ``size - ceil(percent * size / 100) + 1`` of each (the prefix). The product runs over prefix columns only:
 
-1. Columns of ``HOT`` or more prefixes (common lines and passages) are put last in the order and prefixes are taken again.
+1. Columns in ``HOT`` or more prefixes (common lines and passages), and those as common among the next columns of the documents
+   these touch, are put last in the order, and prefixes are taken again.
 2. Columns are dealt to blocks by hash; each block multiplies its columns and adds up overlaps of pairs of rows. A pair goes
    on if its prefix overlap plus the rest of the larger set can reach the bound, and is then counted over whole sets.
 3. A column that is still hot (large groups of near copies) isn't multiplied out. Its rows are compared with one row of
-   each size class; found links join into components, and each row outside the column's main component is compared with
-   all its rows of other components. So every pair that could join two components is compared, and no group costs its square
-   unless its members differ.
+   each size class, and found links join into components. Rows that hot columns connect are then dealt to row blocks, and
+   blocks of rows outside the family's main component are multiplied with all its blocks over whole sets. So every pair that
+   could join two components is compared, and no group costs its square unless its members differ.
 
 Components come from alternating large-star and small-star steps over tables; nothing of the corpus goes to the driver but
 counts. Hot columns are shipped as an array while at most ``MOST_SHIPPED``, else joined.
@@ -34,6 +35,7 @@ from placewright.llm.shingles import shingle_sets
 
 HOT = 100
 MOST_SHIPPED = 1_000_000
+BLOCK = 256
 CHUNK = 2 << 20
 
 
@@ -43,7 +45,7 @@ def prefix_size(n, percent: int):
 
 def stored_size(n: int, percent: int) -> int:
     p = prefix_size(n, percent)
-    return min(n, p + max(8, p // 2))
+    return min(n, 2 * p + 8)
 
 
 def _rows(columns: dict, kinds: dict) -> pa.RecordBatch:
@@ -163,7 +165,7 @@ def verify(pairs: DataFrame, leads: DataFrame, docs: DataFrame, width: int, perc
     pairs = cut(pairs.select("a", "b").distinct())
     nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     own = subset(leads, nodes, "node")
-    full = cut(sets(subset(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut(own.select(F.col("lead").alias("doc_id")).distinct()), "doc_id"), width, percent, True).join(own.select("node"), "node", "left_semi").select("node", "low"))
+    full = cut(whole_sets(docs, own, width, percent).select("node", "low"))
 
     def run(batches):
         for batch in batches:
@@ -199,27 +201,99 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def whole_sets(docs: DataFrame, leads: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, n, low (the whole set) of the nodes of ``leads``."""
+    own = cut(leads.select(F.col("lead").alias("doc_id"), "node").distinct())
+    found = sets(subset(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), own.select("doc_id").distinct(), "doc_id"), width, percent, True)
+    return subset(found, own.select("node"), "node").select("node", "n", "low")
+
+
+def all_columns(nodes: DataFrame) -> DataFrame:
+    """token, node of all hashes in ``low``."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column("low").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), [len(x) for x in own]))], ["token", "node"])
+
+    return nodes.select("node", "low").mapInArrow(run, "token long, node long")
+
+
+def block_links(hot_rows: DataFrame, roots: DataFrame, docs: DataFrame, leads: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: roots that some link between their rows joins, among rows that share hot columns.
+
+    Rows that hot columns connect are a family, dealt to blocks of about ``BLOCK`` by hash. Blocks of rows outside the
+    family's main component are multiplied with all its blocks.
+    """
+    chained = hot_rows.join(hot_rows.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b").where("a <> b")
+    family = components(chained).select("node", F.col("root").alias("family"))
+    rows = hot_rows.select("node").distinct().join(family, "node", "left").join(roots, "node", "left").select("node", F.coalesce("family", "node").alias("family"), F.coalesce("root", "node").alias("root"))
+    rows = cut(rows)
+    main = rows.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.ceil(F.sum("k") / F.lit(float(BLOCK))).cast("int").alias("blocks"), F.count("*").alias("roots")).where("roots > 1")
+    rows = rows.join(main, "family").select("node", "family", "root", "main", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    rows = cut(rows)
+    full = whole_sets(docs, subset(leads, rows.select("node"), "node"), width, percent)
+    packed = cut(rows.join(full.select("node", "low"), "node").groupBy("family", "block", (F.col("root") != F.col("main")).alias("odd")).agg(F.collect_list(F.struct("root", "low")).alias("rows"), F.max("blocks").alias("blocks")))  # about BLOCK rows each
+    left = packed.where("odd").select("family", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    both = left.join(packed.select("family", "block", "odd", F.col("rows").alias("y")), ["family", "block"]).where("NOT odd OR i <= block")
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                for p, q in linked_roots([(r["root"], np.frombuffer(r["low"], np.uint64)) for r in x.as_py()], [(r["root"], np.frombuffer(r["low"], np.uint64)) for r in y.as_py()], percent):
+                    a.append(p)
+                    b.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cut(both.select("x", "y").mapInArrow(run, "a long, b long").distinct())
+
+
+def linked_roots(xs: list, ys: list, percent: int) -> set:
+    """Pairs of different roots with a link, by the product of two blocks of rows over the columns they share."""
+    flat = lambda v: (np.concatenate([s for _, s in v]), np.repeat(np.arange(len(v)), [len(s) for _, s in v]))
+    (tx, rx), (ty, ry) = flat(xs), flat(ys)
+    shared = np.intersect1d(tx, ty)
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, len(shared), 4096):
+        columns = shared[lo : lo + 4096]
+        dense = []
+        for t, r, n in ((tx, rx, len(xs)), (ty, ry, len(ys))):
+            at = np.minimum(np.searchsorted(columns, t), len(columns) - 1)
+            hit = columns[at] == t
+            m = np.zeros((n, len(columns)), np.float32)
+            m[r[hit], at[hit]] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    nx, ny = np.array([len(s) for _, s in xs])[:, None], np.array([len(s) for _, s in ys])[None]
+    hit = np.argwhere(100 * total >= percent * (nx + ny - total))
+    pairs = np.array([[xs[i][0], ys[j][0]] for i, j in hit], np.int64).reshape(-1, 2)
+    return {(int(p), int(q)) for p, q in np.unique(np.sort(pairs, axis=1), axis=0) if p != q}
+
+
 def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(node, lead (least doc_id)) of all nodes, and node, root of those that link. ``found``: a table made by ``sets``."""
     leads = cut(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n")))
-    reps = cut(found.where("n > 0").join(leads.select("node", F.col("lead").alias("doc_id")), ["node", "doc_id"]).select("node", "n", "low"))
-    hot = cut(prefixes(reps, percent, np.zeros(0, np.uint64)).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
+    side = lambda df: F.broadcast(df) if df.count() <= MOST_SHIPPED else df
+    copies = cut(found.where("n > 0").select("node", "doc_id").join(leads.select("node", "lead"), "node").where("doc_id <> lead OR doc_id IS NULL").select("node", F.col("doc_id")).distinct())
+    reps = found.where("n > 0").select("node", "doc_id", "n", "low").join(side(copies.select("node", F.col("doc_id").alias("copy"))).alias("c"), (F.col("c.node") == found["node"]) & F.col("copy").eqNullSafe(F.col("doc_id")), "left_anti").select("node", "n", "low")
+    plain = prefixes(reps, percent, np.zeros(0, np.uint64))
+    common = cut(plain.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
+    touched = cut(plain.join(side(common), "token").select("node").distinct())
+    ahead = all_columns(reps.join(side(touched), "node", "left_semi"))
+    hot = cut(common.union(ahead.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token")).distinct())
     if hot.count() <= MOST_SHIPPED:
-        shipped, lists = np.sort(hot.toPandas()["token"].to_numpy(np.int64).view(np.uint64)), None
+        shipped, with_lists = np.sort(hot.toPandas()["token"].to_numpy(np.int64).view(np.uint64)), lambda df: df
     else:
-        shipped, lists = None, prefixes(reps, percent, np.zeros(0, np.uint64)).join(hot, "token").groupBy("node").agg(F.collect_list("token").alias("hots"))  # at most a prefix each
-    with_lists = lambda df: df if lists is None else df.join(lists, "node", "left")
-    reach = cut(prefixes(with_lists(reps), percent, shipped, short=True).select("node"))
-    full = None
-    if reach.count():
-        own = subset(leads, reach, "node")
-        full = sets(subset(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut(own.select(F.col("lead").alias("doc_id"))), "doc_id"), width, percent, True).join(own.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        shipped = None
+        with_lists = lambda df: df.join(all_columns(df).join(hot, "token").groupBy("node").agg(F.collect_set("token").alias("hots")), "node", "left")  # noqa: E731  at most a set each
+    reach = cut(prefixes(with_lists(reps), percent, shipped, short=True).select("node").distinct())
     columns = prefixes(with_lists(reps), percent, shipped)
-    if full is not None:
-        columns = columns.union(prefixes(with_lists(full.select("node", "n", "low")), percent, shipped, whole=True))
+    if reach.count():
+        full = cut(whole_sets(docs, subset(leads, reach, "node"), width, percent))
+        columns = columns.union(prefixes(with_lists(full), percent, shipped, whole=True))
     still = cut(columns.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
     n_still = still.count()
-    side = lambda df: F.broadcast(df) if n_still <= MOST_SHIPPED else df
     cold = columns.join(side(still), "token", "left_anti")
     hot_rows = cut(columns.join(side(still), "token").select("token", "node", "n"))
     held = hot_rows.groupBy("node").agg(F.count("*").alias("h"))
@@ -237,14 +311,8 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
     edges = verify(left, leads, docs, width, percent)
     roots = components(edges)
     if n_still:
-        rows = hot_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        rows = cut(rows.join(side(main), "token"))
-        odd = rows.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        more = odd.join(rows, "token").where((F.col("root") != F.col("root_a")) & sizes_fit(F.col("n"), F.col("n_a"), percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = cut(more)
-        if more.count():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(more, leads, docs, width, percent)))
+        more = block_links(hot_rows, roots, docs, leads, width, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return leads.select("node", "lead"), cut(roots)
 
 
