@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewright.llm.common import small_batches
+
 EDIT_SHARE = 12
 LEAST_CHARS = 24
 BLOCK_BYTES = 8 << 20
@@ -108,6 +110,7 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select("item_id", "text")
     size = rows.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // block_bytes))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from placewright.llm.common import chunks, held_out, smallest_hashed, text_buffers
 
 ORDER = 4
-CHUNK = 4 << 20
-CACHE = 2_000_000
+CHUNK = 1 << 18
+CACHE = 400_000
 #: Bits a byte of difference between two languages that make odds of 2 ** SHARP.
 SHARP = 40.0
 _LETTER = re.compile(r"[^\W\d_]")
