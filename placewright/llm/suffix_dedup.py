@@ -35,9 +35,9 @@ from placewright.llm.shingles import inverses, powers
 LENGTH = 100
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-SEGMENT = 2 << 20
+SEGMENT = 1 << 18
 MOST_SHIPPED = 4_000_000
-VARIANTS = 2000
+VARIANTS = 30_000
 NO_ID = -(1 << 63)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64), 77)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -186,10 +186,16 @@ def label(docs: DataFrame, known: DataFrame, most_shipped: int = MOST_SHIPPED) -
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text")
     if known.count() <= most_shipped:
-        rows = known.toPandas()
-        key = _key(rows["h"].to_numpy(np.int64), rows["s"].to_numpy(np.int64))
-        order = np.argsort(key)
-        shared = spark.sparkContext.broadcast((key[order], rows["first"].to_numpy(np.int64)[order], rows["v"].to_numpy(np.int64)[order]))
+        def keys_of(batches):
+            for batch in batches:
+                h, s = (batch.column(c).to_numpy() for c in "hs")
+                yield pa.RecordBatch.from_arrays([pa.array(_key(h, s).view(np.int64)), batch.column("first"), batch.column("v").cast(pa.int32(), safe=False)], ["key", "first", "v"])
+
+        rows = known.select("h", "s", "first", "v").mapInArrow(keys_of, "key long, first long, v int").orderBy("key").toArrow()
+        keys, first, v = (rows.column(c).to_numpy() for c in ("key", "first", "v"))
+        del rows
+        shared = spark.sparkContext.broadcast((keys, first, v))
+        del keys, first, v
 
         def run(batches):
             keys, first, v = shared.value
@@ -198,7 +204,7 @@ def label(docs: DataFrame, known: DataFrame, most_shipped: int = MOST_SHIPPED) -
                     h, s, i0, i1 = snippets(data, offsets)
                     if not len(h) or not len(keys):
                         continue
-                    own = _key(h, s)
+                    own = _key(h, s).view(np.int64)
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     hit = keys[at] == own
                     h, s, i0, i1, at = h[hit], s[hit], i0[hit], i1[hit], at[hit]
@@ -244,7 +250,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     head = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -260,7 +266,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             break
         own = order[at]
         group, next_ = rank[own], rank[np.minimum(own + h, n)]
-        move = np.lexsort((next_, group))
+        move = np.argsort(group * (n + 2) + next_)
         own, group, next_ = own[move], group[move], next_[move]
         order[at] = own
         head[at] = np.concatenate([[True], (group[1:] != group[:-1]) | (next_[1:] != next_[:-1])])
@@ -326,11 +332,23 @@ def _ranges(starts: np.ndarray) -> bytes:
     return np.stack([starts[new], starts[np.concatenate([new[1:], [True]])]], 1).tobytes() if len(starts) else b""
 
 
-def compared(found: DataFrame) -> DataFrame:
+def _ranges_by_doc(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    if not len(doc):
+        return []
+    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+    new = other | np.concatenate([[True], np.diff(start) > 1])
+    runs = np.stack([start[new], start[np.concatenate([new[1:], [True]])]], 1)
+    edges = np.append(np.flatnonzero(other[new]), len(runs))
+    return [(int(d), runs[a:b].tobytes()) for d, a, b in zip(doc[other], edges, edges[1:])]
+
+
+def compared(found: DataFrame, n_few: int) -> DataFrame:
     """doc_id, gone (ranges of starts) from comparing snippets of anchors with several."""
     spark = found.sparkSession
     rows = found.where("bytes IS NOT NULL").select("doc_id", "h", "start", "v", "bytes")
-    shards = max(1, 4 * parts(spark))
+    shards = max(1, 4 * parts(spark), n_few // 5000)
 
     def shard(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -343,8 +361,7 @@ def compared(found: DataFrame) -> DataFrame:
             hi = int(np.searchsorted(h, h[min(e, len(h) - 1)], "right"))
             if hi > lo:
                 later = later_starts(batch.iloc[lo:hi])
-                for doc, g in later.groupby("doc_id"):
-                    out.append((doc, _ranges(g["start"].to_numpy())))
+                out += _ranges_by_doc(later["doc_id"].to_numpy(), later["start"].to_numpy())
                 lo = hi
         return pd.DataFrame(out, columns=["doc_id", "gone"]).astype({"doc_id": "int64"})
 
@@ -381,7 +398,7 @@ def removed(docs: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """``docs`` with text as bytes in ``kept``, and ``n_bytes``, ``n_removed``, ``n_spans``."""
     known = cut(repeated(docs))
     found = cut(label(docs, known, most_shipped))
-    ranges = found.where("gone IS NOT NULL").select("doc_id", "gone").union(compared(found)).groupBy("doc_id").agg(F.collect_list("gone").alias("_gone"))
+    ranges = found.where("gone IS NOT NULL").select("doc_id", "gone").union(compared(found, known.where(F.col("v").between(2, VARIANTS)).count())).groupBy("doc_id").agg(F.collect_list("gone").alias("_gone"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     extra = [T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
 
