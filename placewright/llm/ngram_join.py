@@ -36,7 +36,7 @@ from placewright.llm.shingles import shingle_sets
 HOT = 100
 MOST_SHIPPED = 1_000_000
 BLOCK = 256
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 
 def prefix_size(n, percent: int):
@@ -48,10 +48,6 @@ def stored_size(n: int, percent: int) -> int:
     return min(n, 2 * p + 8)
 
 
-def _rows(columns: dict, kinds: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in kinds.items()], list(kinds))
-
-
 def sets(docs: DataFrame, width: int, percent: int, whole: bool = False) -> DataFrame:
     """doc_id, n (set size), node, low (its least hashes, or all with ``whole``) of every document."""
 
@@ -72,13 +68,10 @@ def sets(docs: DataFrame, width: int, percent: int, whole: bool = False) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, low binary")
 
 
-_COLUMN_ROWS = {"token": pa.int64(), "node": pa.int64(), "n": pa.int64(), "hot": pa.int64()}
-
+def prefixes(nodes: DataFrame, percent: int, hot: np.ndarray | None, whole: bool = False, short: bool = False, only: str = "") -> DataFrame:
+    """token, node, n of prefixes, hot columns last; ``hot`` is sorted, or each row brings its own ``hots``.
 
-def prefixes(nodes: DataFrame, percent: int, hot: np.ndarray | None, whole: bool = False, short: bool = False) -> DataFrame:
-    """token, node, n, hot (how many of the prefix are hot) of prefixes, hot columns last; each row may bring its own ``hots``.
-
-    With ``short``, only the nodes whose stored hashes don't reach (one row each); else all other nodes.
+    With ``short``, only the nodes whose stored hashes don't reach (node alone); else all other nodes. ``only``: that column.
     """
     shared = nodes.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
     listed = "hots" in nodes.columns
@@ -86,32 +79,37 @@ def prefixes(nodes: DataFrame, percent: int, hot: np.ndarray | None, whole: bool
     def run(batches):
         all_hot = shared.value if shared else None
         for batch in batches:
-            token, node, size, held = [], [], [], []
-            lists = batch.column("hots").to_pylist() if listed else None
-            for k, (x, n, low) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("low").to_pylist())):
-                s, p = np.frombuffer(low, np.uint64), prefix_size(n, percent)
-                own_hot = np.array(lists[k] or [], np.int64).view(np.uint64) if listed else all_hot
-                bad = np.isin(s, own_hot) if own_hot is not None and len(own_hot) else np.zeros(len(s), bool)
-                good = s[~bad][:p]
-                if not whole and len(good) < p and len(s) < n:
-                    if short:
-                        token.append(np.zeros(1, np.int64))
-                        node.append(np.array([x]))
-                        size.append(np.array([n]))
-                        held.append(np.zeros(1, np.int64))
-                    continue
-                if short:
-                    continue
-                extra = s[bad][: p - len(good)]
-                own = np.concatenate([good, extra]).view(np.int64)
-                token.append(own)
-                node.append(np.full(len(own), x))
-                size.append(np.full(len(own), n))
-                held.append(np.full(len(own), len(extra)))
-            cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-            yield _rows({"token": cat(token), "node": cat(node), "n": cat(size), "hot": cat(held)}, _COLUMN_ROWS)
-
-    return nodes.select("node", "n", "low", *["hots"] * listed).mapInArrow(run, "token long, node long, n long, hot long")
+            node, size = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            data, offsets = text_buffers(batch.column("low"))
+            flat, held = np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
+            row = np.repeat(np.arange(len(held)), held)
+            if listed:
+                bad = np.zeros(len(flat), bool)
+                for k, own in enumerate(batch.column("hots").to_pylist()):
+                    if own:
+                        at = slice(offsets[k] // 8, offsets[k + 1] // 8)
+                        bad[at] = np.isin(flat[at], np.array(own, np.int64).view(np.uint64))
+            elif len(all_hot):
+                bad = all_hot[np.minimum(np.searchsorted(all_hot, flat), len(all_hot) - 1)] == flat
+            else:
+                bad = np.zeros(len(flat), bool)
+            wanted = prefix_size(size, percent)
+            total = np.concatenate([[0], np.cumsum(~bad)])
+            base = offsets[:-1] // 8
+            good_before = total[:-1] - total[base][row]
+            n_good = total[offsets[1:] // 8] - total[base]
+            lacking = (n_good < wanted) & (held < size) & (not whole)
+            if short:
+                yield pa.RecordBatch.from_arrays([pa.array(node[lacking])], ["node"])
+                continue
+            bad_before = np.arange(len(flat)) - base[row] - good_before
+            take = np.where(bad, bad_before < (wanted - n_good)[row], good_before < wanted[row]) & ~lacking[row]
+            columns = {"token": flat[take].view(np.int64), "node": node[row[take]], "n": size[row[take]]}
+            names = [only] if only else list(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names)
+
+    kinds = "node long" if short else f"{only} long" if only else "token long, node long, n long"
+    return nodes.select("node", "n", "low", *["hots"] * listed).mapInArrow(run, kinds)
 
 
 def multiply(columns: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +142,7 @@ def multiply(columns: DataFrame, percent: int) -> DataFrame:
     def block(token, node, n):
         p = product(token, node, n)
         u, c = np.unique(p, axis=0, return_counts=True) if len(p) else (p, np.zeros(0, np.int64))
-        return _rows({"a": u[:, 0], "b": u[:, 1], "c": c, "n_a": u[:, 2], "n_b": u[:, 3]}, dict.fromkeys(("a", "b", "c", "n_a", "n_b"), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[:, 0], u[:, 1], c, u[:, 2], u[:, 3])], ["a", "b", "c", "n_a", "n_b"])
 
     dealt = columns.select("token", "node", "n").repartition("token").sortWithinPartitions("token")
     pairs = dealt.mapInArrow(run, "a long, b long, c long, n_a long, n_b long")
@@ -275,11 +273,11 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
     """(node, lead (least doc_id)) of all nodes, and node, root of those that link. ``found``: a table made by ``sets``."""
     leads = cut(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n")))
     side = lambda df: F.broadcast(df) if df.count() <= MOST_SHIPPED else df
-    copies = cut(found.where("n > 0").select("node", "doc_id").join(leads.select("node", "lead"), "node").where("doc_id <> lead OR doc_id IS NULL").select("node", F.col("doc_id")).distinct())
+    copies = cut(found.where("n > 0").select("node", "doc_id").join(leads.select("node", "lead"), "node").where("doc_id <> lead OR doc_id IS NULL").select("node", "doc_id"))
     reps = found.where("n > 0").select("node", "doc_id", "n", "low").join(side(copies.select("node", F.col("doc_id").alias("copy"))).alias("c"), (F.col("c.node") == found["node"]) & F.col("copy").eqNullSafe(F.col("doc_id")), "left_anti").select("node", "n", "low")
-    plain = prefixes(reps, percent, np.zeros(0, np.uint64))
-    common = cut(plain.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
-    touched = cut(plain.join(side(common), "token").select("node").distinct())
+    none = np.zeros(0, np.uint64)
+    common = cut(prefixes(reps, percent, none, only="token").groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
+    touched = cut(prefixes(reps, percent, none).select("token", "node").join(side(common), "token").select("node").distinct())
     ahead = all_columns(reps.join(side(touched), "node", "left_semi"))
     hot = cut(common.union(ahead.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token")).distinct())
     if hot.count() <= MOST_SHIPPED:
@@ -288,11 +286,14 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
         shipped = None
         with_lists = lambda df: df.join(all_columns(df).join(hot, "token").groupBy("node").agg(F.collect_set("token").alias("hots")), "node", "left")  # noqa: E731  at most a set each
     reach = cut(prefixes(with_lists(reps), percent, shipped, short=True).select("node").distinct())
-    columns = prefixes(with_lists(reps), percent, shipped)
-    if reach.count():
-        full = cut(whole_sets(docs, subset(leads, reach, "node"), width, percent))
-        columns = columns.union(prefixes(with_lists(full), percent, shipped, whole=True))
-    still = cut(columns.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
+    full = cut(whole_sets(docs, subset(leads, reach, "node"), width, percent)) if reach.count() else None
+
+    def all_prefixes(only: str = "") -> DataFrame:
+        out = prefixes(with_lists(reps), percent, shipped, only=only)
+        return out if full is None else out.union(prefixes(with_lists(full), percent, shipped, whole=True, only=only))
+
+    columns = all_prefixes()
+    still = cut(all_prefixes("token").groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
     n_still = still.count()
     cold = columns.join(side(still), "token", "left_anti")
     hot_rows = cut(columns.join(side(still), "token").select("token", "node", "n"))
@@ -323,7 +324,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     least = linked.join(leads, "node").groupBy("root").agg(F.min("lead").alias("component"))
     named = linked.join(least, "root").select("node", "component")
-    table = leads.join(named, "node", "left").select("node", F.coalesce("component", "lead").alias("component"))
+    table = cut(leads.join(named, "node", "left").select("node", F.coalesce("component", "lead").alias("component")))  # else a hot node's join can't be split
     out = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(table, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
