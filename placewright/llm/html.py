@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import cut
+from placewright.llm.common import cut, free
 
 LEAST_PAGES = 5
 SHARE = 0.2
@@ -238,17 +238,19 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (with url and html) and ``text``, ``n_chars``; html itself is kept."""
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
 
+    host_id, marks_id = free(names, "_host"), free(names, "_marks")
+
     @F.pandas_udf("string")
     def host(url):
         return url.map(host_of)
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, frozenset(x & (1 << 64) - 1 for x in m or ())) for h, m in zip(batch.column("html").to_pylist(), batch.column("_marks").to_pylist())]
+            texts = [main_text(h, frozenset(x & (1 << 64) - 1 for x in m or ())) for h, m in zip(batch.column("html").to_pylist(), batch.column(marks_id).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    keyed = pages.select(*names).withColumn("_host", host("url"))
-    both = keyed.join(cut(templates(pages)).select(F.col("host").alias("_host"), F.col("marks").alias("_marks")), "_host", "left").drop("_host")
+    keyed = pages.select(*names).withColumn(host_id, host("url"))
+    both = keyed.join(cut(templates(pages)).select(F.col("host").alias(host_id), F.col("marks").alias(marks_id)), host_id, "left").drop(host_id)
     return both.mapInArrow(run, T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import WHITE, cut, parts
+from placewright.llm.common import WHITE, cut, free
 from placewright.llm.perfect_hash import PerfectHash, mix
 
 SHARD_KEYS = 200_000
@@ -158,12 +158,13 @@ def dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, broadcast
         return pd.Series(_shard_of(low.to_numpy(np.int64).view(np.uint64), n_shards))
 
     index = keys.groupBy(shard_id("low").alias("shard")).applyInPandas(pack, "shard long, marks binary, keep binary, low binary")
-    keyed = cut(docs.select(*names).withColumn("_row", F.monotonically_increasing_id()))
+    row_id, gone_id = free(names, "_row"), free(names, "_gone")
+    keyed = cut(docs.select(*names).withColumn(row_id, F.monotonically_increasing_id()))
 
     def ask(batches):
         for batch in batches:
             low, high, ids, rows, at = [], [], [], [], []
-            for k, (i, row, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "text")))):
+            for k, (i, row, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", row_id, "text")))):
                 _, lines, a, b = line_hashes(text, least_chars)
                 low += a
                 high += b
@@ -184,17 +185,17 @@ def dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, broadcast
                     held = r["shard"]
                     shard = Shard(np.frombuffer(r["s_low"], np.uint64), np.frombuffer(r["marks"], np.uint64), np.frombuffer(r["keep"], np.int64), np.zeros(len(r["keep"]) // 8, np.int64))
                 gone = shard.drops(np.frombuffer(r["low"], np.uint64), np.frombuffer(r["high"], np.uint64), np.frombuffer(r["ids"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["rows"], np.int64)[gone]), pa.array(np.frombuffer(r["at"], np.int64)[gone])], ["_row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["rows"], np.int64)[gone]), pa.array(np.frombuffer(r["at"], np.int64)[gone])], [row_id, "at"])
 
-    probes = keyed.select("doc_id", "_row", "text").mapInArrow(ask, "shard long, low binary, high binary, ids binary, rows binary, at binary")
-    gone = probes.join(index.withColumnRenamed("low", "s_low"), "shard").mapInArrow(answer, "_row long, at long").groupBy("_row").agg(F.collect_list("at").alias("_gone"))
+    probes = keyed.select("doc_id", row_id, "text").mapInArrow(ask, "shard long, low binary, high binary, ids binary, rows binary, at binary")
+    gone = probes.join(index.withColumnRenamed("low", "s_low"), "shard").mapInArrow(answer, f"{row_id} long, at long").groupBy(row_id).agg(F.collect_list("at").alias(gone_id))
 
     def apply(batches):
         for batch in batches:
-            lists = batch.column("_gone").to_pylist()
+            lists = batch.column(gone_id).to_pylist()
             yield finish(batch, lambda k, text: ((text or "").encode("utf-8", "surrogatepass").split(b"\n"), set(lists[k] or ())))
 
-    return keyed.join(gone, "_row", "left").drop("_row").mapInArrow(apply, schema)
+    return keyed.join(gone, row_id, "left").drop(row_id).mapInArrow(apply, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import cut, parts, text_buffers
+from placewright.llm.common import cut, free, parts, text_buffers
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import inverses, powers
 
@@ -265,8 +265,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         own = order[at]
-        group, next_ = rank[own], rank[np.minimum(own + h, n)]
-        move = np.argsort(group * (n + 2) + next_)
+        past = own + h - n  # a text that ends before stands first, the shortest foremost
+        group, next_ = rank[own], np.where(past >= 0, -1 - past, rank[np.minimum(own + h, n)])
+        move = np.argsort(group * (n + h + 2) + next_ + h + 1)
         own, group, next_ = own[move], group[move], next_[move]
         order[at] = own
         head[at] = np.concatenate([[True], (group[1:] != group[:-1]) | (next_[1:] != next_[:-1])])
@@ -398,15 +399,16 @@ def removed(docs: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """``docs`` with text as bytes in ``kept``, and ``n_bytes``, ``n_removed``, ``n_spans``."""
     known = cut(repeated(docs))
     found = cut(label(docs, known, most_shipped))
-    ranges = found.where("gone IS NOT NULL").select("doc_id", "gone").union(compared(found, known.where(F.col("v").between(2, VARIANTS)).count())).groupBy("doc_id").agg(F.collect_list("gone").alias("_gone"))
+    ranges = found.where("gone IS NOT NULL").select("doc_id", "gone").union(compared(found, known.where(F.col("v").between(2, VARIANTS)).count())).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
+    gone_id, key = free(docs.columns, "_gone"), free(docs.columns, "_id")
     extra = [T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             kept, size, gone, spans = [], [], [], []
-            for d, lists in enumerate(batch.column("_gone").to_pylist()):
+            for d, lists in enumerate(batch.column(gone_id).to_pylist()):
                 own = data[offsets[d] : offsets[d + 1]]
                 mark = np.zeros(len(own) + 1, np.int32)
                 for x in lists or ():
@@ -421,7 +423,7 @@ def removed(docs: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
             cols = [batch.column(c) for c in names] + [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (size, gone, spans)]]
             yield pa.RecordBatch.from_arrays(cols, [*names, *[f.name for f in extra]])
 
-    both = docs.select(*names).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(ranges.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    both = docs.select(*names).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(ranges.select(F.col("doc_id").alias(key), F.col("gone").alias(gone_id)), key, "left").drop(key)
     return both.mapInArrow(run, T.StructType([docs.schema[c] for c in names] + extra))
 
 
