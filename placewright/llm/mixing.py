@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placewright.llm.common import cut
+from placewright.llm.common import cut, free
 
 MOST_LEAVES = 100_000
-BITS = 12
-LEVELS = 5
+BITS = 8
+LEVELS = 7
 PATH = ["domain", "lang", "source"]
 
 
@@ -93,15 +93,15 @@ def n_tokens(text: Column) -> Column:
 
 
 def order_hash(seed: int, epoch: Column) -> Column:
-    """A position from 0 to 2 ** 60 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed), epoch), 4)
+    """A position from 0 to 2 ** 56 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed), epoch), 64 - BITS * LEVELS)
 
 
 def ends(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """leaf, last: the largest hash that the prefix takes (-1: none). ``rows``: leaf, h, n; ``rest``: leaf, room (tokens)."""
     now = rest.select("leaf", F.col("room"), F.lit(0).cast("long").alias("base"))
     for level in range(LEVELS):
-        shift = 60 - BITS * (level + 1)
+        shift = BITS * (LEVELS - 1 - level)
         inside = rows.join(F.broadcast(now), "leaf").where(F.shiftright("h", shift + BITS) == F.col("base"))
         sums = inside.groupBy("leaf", "room", F.shiftright("h", shift).alias("part")).agg(F.sum("n").alias("n"))  # at most 2 ** BITS a leaf
         run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("leaf").orderBy("part")))
@@ -133,9 +133,10 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: float = 3.0, wei
     plan = spark.createDataFrame(plan, "leaf string, full int, room long")
     hashed = small.join(F.broadcast(plan.select("leaf", "full")), "leaf").select("leaf", order_hash(seed, F.col("full")).alias("h"), "n")
     last = ends(hashed, plan.where("room > 0"))
-    draws = plan.join(last, "leaf", "left").select("leaf", "full", F.coalesce("last", F.lit(-1)).alias("last"))  # one row a leaf
-    out = keyed.withColumn("leaf", leaf).join(F.broadcast(draws), "leaf")
-    taken = F.col("full") + (order_hash(seed, F.col("full")) <= F.col("last")).cast("int")
+    key, full, end = (free([*names, "domain"], c) for c in ("leaf", "full", "last"))
+    draws = plan.join(last, "leaf", "left").select(F.col("leaf").alias(key), F.col("full").alias(full), F.coalesce("last", F.lit(-1)).alias(end))  # one row a leaf
+    out = keyed.withColumn(key, leaf).join(F.broadcast(draws), key)
+    taken = F.col(full) + (order_hash(seed, F.col(full)) <= F.col(end)).cast("int")
     epochs = F.when(taken > 0, F.sequence(F.lit(0), taken - 1)).otherwise(F.array().cast("array<int>"))
     return out.select(*names, "domain", n_tokens(F.col("text")).alias("n_tokens"), F.explode(epochs).alias("epoch"))
 
