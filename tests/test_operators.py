@@ -206,7 +206,8 @@ def test_bulk_ingest(spark, tmp_path):
     kind = "id string, names struct<primary:string,common:map<string,string>>, categories struct<primary:string>, basic_category string, taxonomy struct<hierarchy:array<string>>, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, addresses array<struct<freeform:string,locality:string,region:string,postcode:string,country:string>>, phones array<string>, websites array<string>, emails array<string>, socials array<string>, brand struct<names:struct<primary:string>,wikidata:string>, confidence double, sources array<struct<d:string>>, operating_status string"
     spark.createDataFrame([row, row | {"id": "far", "bbox": {"xmin": 50.0, "xmax": 50.1, "ymin": 24.0, "ymax": 24.1}}, row | {"id": "low", "confidence": 0.1}], kind).write.parquet(str(tmp_path / "bulk"))
     raw = landed.bulk(spark, str(tmp_path / "bulk"), BBox(46.6, 24.7, 46.7, 24.8))
-    assert "bbox.xmin" in raw._jdf.queryExecution().explainString(raw._sc._jvm.PythonSQLUtils.toExplainMode("formatted")) if hasattr(raw, "_sc") else True
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "bbox.xmin" in plan.split("PushedFilters")[1]
     got = corpus.ingest(landed.bulk(spark, str(tmp_path / "bulk")), BBox(46.6, 24.7, 46.7, 24.8), 0.5).collect()
     assert [r["id"] for r in got] == ["x"] and got[0]["name_primary"] == "Cafe" and got[0]["phone"] == "+96611" and got[0]["source_count"] == 2 and got[0]["lon"] == pytest.approx(46.68)
     assert one(corpus.coverage(spark.createDataFrame(got, corpus.schema())))["with_phone"] == 1
