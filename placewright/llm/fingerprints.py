@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from placewright.llm.common import parts
 
-K = 3
-M = 16
+K = 2
+M = 32
 POS_BITS = 26
 COARSE = 64
 _POS = (1 << POS_BITS) - 1

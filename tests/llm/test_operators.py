@@ -386,7 +386,7 @@ def test_occurrences(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fingerprints.numbered_kmers(F.col("t")).alias("e"))
     for i, e in df.collect():
         w = texts[i].split()
-        kmers = [tuple(w[k : k + 3]) for k in range(len(w) - 2)] or ([tuple(w)] if w else [])
+        kmers = [tuple(w[k : k + fingerprints.K]) for k in range(len(w) - fingerprints.K + 1)] or ([tuple(w)] if w else [])
         seen, want = Counter(), {}
         for pos, k in enumerate(kmers):
             want[pos] = seen[k]
