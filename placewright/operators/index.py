@@ -50,7 +50,8 @@ def from_postings(postings: DataFrame) -> Index:
 
 
 def build(places: DataFrame) -> Index:
-    return from_postings(weighted_tokens(places))
+    """The index of a corpus. Postings are persisted: lengths and frequencies come from them, and queries read all three."""
+    return from_postings(weighted_tokens(places).persist())
 
 
 def stats(index: Index) -> DataFrame:

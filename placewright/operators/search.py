@@ -11,7 +11,7 @@ from placewright.functions.fuzzy import best_ratio, weighted_ratio
 from placewright.functions.geo import decay, haversine_m, near_box
 from placewright.functions.text import normalized, tokens
 from placewright.operators.corpus import final_category, live
-from placewright.operators.index import Index, stats
+from placewright.operators.index import Index
 
 K1, B = 1.2, 0.75
 CUTOFF = 82.0
@@ -59,10 +59,14 @@ def query_terms(asked: DataFrame, index: Index) -> DataFrame:
 
 def text_scores(asked: DataFrame, index: Index) -> DataFrame:
     """query_id, place_id, text_score, matched_terms, n_terms."""
-    terms = query_terms(asked, index)
+    spark = asked.sparkSession
+    # the terms of at most MOST_QUERIES queries and one row of statistics become literals of the plan that scans postings
+    found = query_terms(asked, index).join(index.terms, "term", "left").select("query_id", "term", "times", "df").collect()
+    n, avgdl = index.lengths.agg(F.count("*"), F.avg("len")).first()
+    terms = spark.createDataFrame(found, "query_id string, term string, times long, df int")
     counts = terms.groupBy("query_id").agg(F.sum("times").alias("n_terms"))
-    rows = index.postings.join(F.broadcast(terms), "term").join(index.terms, "term").join(index.lengths, "place_id").crossJoin(F.broadcast(stats(index)))  # one row
-    rows = rows.withColumn("s", F.col("times") * bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avgdl")))
+    rows = index.postings.join(F.broadcast(terms), "term").join(index.lengths, "place_id")
+    rows = rows.withColumn("s", F.col("times") * bm25(F.lit(n), F.col("df"), F.col("tf"), F.col("len"), F.lit(avgdl)))
     out = rows.groupBy("query_id", "place_id").agg(F.sum("s").alias("text_score"), F.countDistinct("term").alias("matched_terms"))
     return out.join(F.broadcast(counts), "query_id")
 
@@ -115,7 +119,7 @@ def search(places: DataFrame, index: Index, asked: DataFrame, limit: int = 20, w
     df = df.withColumn("name_score", _name_score(normalized(F.col("query")))).withColumn("score", blended(F.col("text_norm"), F.col("name_score"), F.col("prominence"), F.col("distance_m"), w))
     out = _shape(_cut(df, [F.desc("score"), F.col("place_id")], F.lit(limit)))
     rest = asked.where("NOT _some AND lon IS NOT NULL AND lat IS NOT NULL").drop("_some")
-    return out.unionByName(nearby(places, rest, limit, keep_radius=True))
+    return out if rest.isEmpty() else out.unionByName(nearby(places, rest, limit, keep_radius=True))
 
 
 def nearby(places: DataFrame, asked: DataFrame, limit: int = 20, radius_m: float = 1000.0, keep_radius: bool = False) -> DataFrame:
