@@ -6,8 +6,8 @@ so that lengths, which are whole bytes, resolve a match of a few letters. Each w
 its saving is the ordinary length less the toxic one. How many windows of a document save at least each of several bars,
 and the largest saving, are its features; a logistic curve calibrated on the labelled sample turns them into a score.
 
-Training takes at most ``per_class`` labelled documents a class, by seeded hash of the id, and of these rows only texts of
-up to ``MOST_CHARS``; scoring reads every whole text. Null and empty texts have no window and get the score of no saving.
+Training takes at most ``toxic`` and ``ordinary`` labelled documents of either class, by seeded hash of the id, and of these
+only texts of up to ``MOST_CHARS``; scoring reads every whole text. Null and empty texts have no window and get the score of no saving.
 Conflicting labels of one doc_id count as toxic; repeated rows are scored each.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from placewright.llm.common import chunks, held_out, smallest_hashed, text_buffers
 
 STRETCH = 2
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 MOST_CHARS = 1 << 20
 DICT_BYTES = 4 << 10
 SAMPLE_WORDS = 6
@@ -114,22 +114,27 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def _uses(docs: list[list[bytes]]) -> list[bytes]:
-    """The words of all distinct pairs of a word and the one before it, so that copies and set phrases count once."""
-    return [w for _, w in {p for d in docs for p in zip([b"", *d], d)}]
-
-
 def _heads(word: bytes) -> set[bytes]:
     return {word, *(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))}
 
 
+def _count_heads(docs: list[list[bytes]], only: set[bytes] | None = None) -> Counter:
+    """Words and word beginnings (of ``only``) by distinct pairs of a word and the one before it, so that copies and set phrases count once."""
+    seen, out = set(), Counter()
+    starts = None if only is None else {x[:SHORTEST] for x in only}
+    for d in docs:
+        for pair in zip([b"", *d], d):
+            if (starts is None or pair[1][:SHORTEST] in starts) and (h := hash(pair)) not in seen:
+                seen.add(h)
+                out.update(_heads(pair[1]) if only is None else _heads(pair[1]) & only)
+    return out
+
+
 def toxic_units(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
     """Words and word beginnings used at least ODDS times as often in toxic texts, rarest first; none begins with another."""
-    uses, others = _uses(toxic), _uses(ordinary)
-    held = Counter(x for w in uses for x in _heads(w))
-    own = {x: n for x, n in held.items() if n >= max(4, LEAST_SHARE * len(toxic))}
-    other = Counter(x for w in others for x in _heads(w) if x in own)
-    odd = {x for x, n in own.items() if n / max(1, len(uses)) >= ODDS * (other[x] + 0.5) / max(1, len(others))}
+    own = {x: n for x, n in _count_heads(toxic).items() if n >= max(4, LEAST_SHARE * len(toxic))}
+    other, n_own, n_other = _count_heads(ordinary, set(own)), sum(map(len, toxic)), sum(map(len, ordinary))
+    odd = {x for x, n in own.items() if n / max(1, n_own) >= ODDS * (other[x] + 0.5) / max(1, n_other)}
     whole = {x for x in odd if not any(y.startswith(x) and len(y) == len(x) + 1 and own[y] >= 0.8 * own[x] for y in odd)}
     first = [x for x in whole if not any(x[:n] in whole for n in range(1, len(x)))]
     return sorted(first, key=lambda x: (own[x], x))
@@ -142,15 +147,20 @@ def build(texts: list[str], labels: list[int]) -> Model:
     plain = [b" ".join(d[i : i + SAMPLE_WORDS]) for d in by[0] for i in range(0, len(d), SAMPLE_WORDS)]
     toxic = b"".join(b" " + u for u in units)[-DICT_BYTES:]  # the likeliest last, where offsets are shortest
     model = Model(_dictionary(plain, DICT_BYTES), toxic)
+    del docs, by, plain
     if texts:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        model.fit(model.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)), np.array(labels, float))
+        model.fit(np.concatenate([_features_of(model, texts[i : i + 200]) for i in range(0, len(texts), 200)]), np.array(labels, float))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, seed: int = 5) -> Model:
+def _features_of(model: Model, texts: list[str]) -> np.ndarray:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return model.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 1200, ordinary: int = 3000, seed: int = 5) -> Model:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = smallest_hashed(own, "toxic", per_class, seed, groups=2)
+    ids = {y: v[: toxic if y else ordinary] for y, v in smallest_hashed(own, "toxic", max(toxic, ordinary), seed, groups=2).items()}
     label = {i: int(y) for y, v in ids.items() for i in v}
     if not label:
         return Model(b"", b"")
