@@ -61,28 +61,54 @@ def candidate_pairs(places: DataFrame, pois: DataFrame, max_lat: float = 47.0) -
     return pairs.where(F.col("similarity") >= bar).select("id", "osm_type", "osm_id", "similarity", "dist")
 
 
-def one_to_one(pairs: DataFrame, left: list[str], right: list[str], order: list[Column], most_rounds: int = 100) -> DataFrame:
-    """Greedy matching under a strict total order, by rounds: pairs first on both sides are taken, their rows leave.
-
-    Equal to taking pairs in the whole order one by one. Each round's rest is checkpointed.
+def _tied(ranked: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Pairs that groups of full ties give in one round: where every left of a group is tied with every right and neither has an
+    equal or better pair elsewhere, the greedy order takes them by rank. Hashes only propose groups; counts prove them."""
+    best = ranked.where("_l = 1 AND _r = 1").dropDuplicates([*left, *right])
+    for side, other, own, open_ in ((left, right, "_gl", "_nl"), (right, left, "_gr", "_nr")):
+        whole = W.partitionBy(*side)
+        best = best.withColumns({own: F.bit_xor(F.xxhash64(*other)).over(whole), f"{own}_n": F.count("*").over(whole)}).withColumn(f"{own}_shut", F.col(f"{own}_n") == F.col(open_))
+
+    def nodes(side: list[str], own: str, k: str) -> DataFrame:
+        n = best.groupBy("_gl", "_gr", *side).agg(F.count("*").alias("c"), F.bool_and(f"{own}_shut").alias("shut"), F.max(f"{own}_n").alias("n"))
+        return n.select("_gl", "_gr", *side, "c", (F.col("shut") & (F.col("c") == F.col("n"))).alias("ok"), F.row_number().over(W.partitionBy("_gl", "_gr").orderBy(*side)).alias(k))
+
+    ls, rs = nodes(left, "_gl", "_k"), nodes(right, "_gr", "_k")
+    of = lambda n, k: n.groupBy("_gl", "_gr").agg(F.count("*").alias(k), F.sum("c").alias(f"{k}_pairs"), F.bool_and("ok").alias(f"{k}_ok"))
+    whole = of(ls, "a").join(of(rs, "b"), ["_gl", "_gr"]).where("a_ok AND b_ok AND a_pairs = a * b").select("_gl", "_gr")
+    return ls.join(whole, ["_gl", "_gr"]).select("_gl", "_gr", "_k", *left).join(rs.select("_gl", "_gr", "_k", *right), ["_gl", "_gr", "_k"]).select(*left, *right)
+
+
+def one_to_one(pairs: DataFrame, left: list[str], right: list[str], order: list[Column]) -> DataFrame:
+    """Greedy matching under the strict total order of ``order``, then the left and right keys, by rounds: pairs first on both
+    sides are taken, and groups tied in ``order`` by rank (see ``_tied``); their rows leave.
+
+    Equal to taking pairs in the whole order one by one; it ends when no pair is left, and every round takes one at least. Each
+    round's rest is checkpointed.
     """
-    taken, rest = None, pairs
+    taken, rest, rounds = None, pairs, 0
     reliable = pairs.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(most_rounds):
-        ranked = rest.withColumns({"_l": F.row_number().over(W.partitionBy(*left).orderBy(*order)), "_r": F.row_number().over(W.partitionBy(*right).orderBy(*order))})
-        best = ranked.where("_l = 1 AND _r = 1").drop("_l", "_r")
-        best = best.checkpoint() if reliable else best.persist()
-        taken = best if taken is None else taken.unionByName(best)
-        rest = rest.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti")
-        rest = rest.checkpoint() if reliable else rest.persist()
-        if rest.isEmpty():
-            break
-    return taken
+    kept = lambda df: df.checkpoint() if reliable else df.localCheckpoint()
+    rest = kept(rest)
+    while not rest.isEmpty():
+        ranked = rest
+        for side, rank, n, first in ((left, "_l", "_nl", "_fl"), (right, "_r", "_nr", "_fr")):
+            own = W.partitionBy(*side)
+            ranked = ranked.withColumns({rank: F.rank().over(own.orderBy(*order)), first: F.row_number().over(own.orderBy(*order, *left, *right))}).withColumn(n, F.count_if(F.col(rank) == 1).over(own))
+        ranked = kept(ranked.where("_l = 1 AND _r = 1"))
+        tied = _tied(ranked, left, right).withColumn("_tied", F.lit(True))
+        best = ranked.dropDuplicates([*left, *right]).join(tied, [*left, *right], "left").where("_tied OR _fl = 1 AND _fr = 1")
+        best = kept(best.select(*pairs.columns))
+        taken, rounds = best if taken is None else taken.unionByName(best), rounds + 1
+        if rounds % 20 == 0:
+            taken = kept(taken)
+        rest = kept(rest.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti"))
+    return rest if taken is None else taken
 
 
 def conflate(places: DataFrame, pois: DataFrame, max_lat: float = 47.0) -> DataFrame:
     pairs = candidate_pairs(places, pois, max_lat)
-    return one_to_one(pairs, ["id"], ["osm_type", "osm_id"], [F.desc("similarity"), F.col("dist"), F.col("id"), F.col("osm_type"), F.col("osm_id")])
+    return one_to_one(pairs, ["id"], ["osm_type", "osm_id"], [F.desc("similarity"), F.col("dist")])
 
 
 def fill(places: DataFrame, matches: DataFrame, pois: DataFrame, now: Column) -> DataFrame:

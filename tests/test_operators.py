@@ -147,6 +147,15 @@ def test_one_to_one_equals_greedy(spark):
         assert sorted((r["a"], r["b"]) for r in got.collect()) == greedy(pairs)
 
 
+def test_one_to_one_hot_points(spark):
+    hot = [(0, f"a{i:03}", f"b{j:03}") for i in range(130) for j in range(120)]
+    more = [(1, f"a{i:03}", f"c{i:03}") for i in range(118, 130)] + [(2, "z0", "c119"), (2, "z0", "y0"), (2, "z1", "y0"), (2, "z1", "y1")]
+    df = spark.createDataFrame(hot + more, "d int, a string, b string")
+    got = conflate.one_to_one(df, ["a"], ["b"], [F.col("d")])
+    assert got.columns == df.columns and sorted((r["a"], r["b"]) for r in got.collect()) == greedy(hot + more)
+    assert conflate.one_to_one(df.limit(0), ["a"], ["b"], [F.col("d")]).count() == 0
+
+
 def test_conflation_and_enrichment(spark, places):
     poi = [("node", 1, 46.6751, 24.7121, {"name": "كوفي هيل", "amenity": "cafe", "opening_hours": "24/7", "name:ar": "كوفي هيل"}), ("node", 2, 46.6761, 24.7121, {"name": "Coffee Hill", "highway": "road"}), ("node", 3, 46.80, 24.80, {"name": "Coffee Hill", "amenity": "cafe"}), ("node", 4, 46.6750, 24.7119, {"name": "Quite Different", "shop": "x"})]
     pois = spark.createDataFrame(poi, "osm_type string, osm_id long, lon double, lat double, tags map<string,string>")
