@@ -6,6 +6,10 @@ into one piece more than that, at least one of which any match keeps whole (pige
 finds all pieces and phrases; around each piece the ``regex`` library's bounded-error matching verifies the notice
 and gives its span and edits.
 
+All verified finds count, also overlapping ones, with two exceptions: of finds of notices of like length over the same words (as nc and
+sa) the one of the smallest share of edits stays; and a find inside that of a longer notice goes if it names the same licence, or the
+same less exactly (``apache`` in ``apache-2.0``). A shorter notice never displaces a longer one that is within its edits.
+
 Null and empty texts have no words. Each row is scanned on its own, whole and at any length; rows may repeat, and
 other columns pass through.
 """
@@ -56,6 +60,16 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def alike(s: tuple, t: tuple) -> bool:
+    """Whether the notices of two finds are of like length: one could be a misspelling of the other."""
+    return abs(s[5] - t[5]) <= max(s[5], t[5]) // EDIT_SHARE
+
+
+def same_words(s: tuple, t: tuple) -> bool:
+    """Whether two finds share more than half of the shorter one."""
+    return 2 * (min(s[3], t[3]) - max(s[2], t[2])) > min(s[3] - s[2], t[3] - t[2])
+
+
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES):
         self.base, self.notices = list(base.items()), list(notices.items())
@@ -97,10 +111,11 @@ class Scanner:
                     same = (k, a // max(1, e))
                     if same not in spans or edits < spans[same][4]:
                         spans[same] = (self.notices[k][1], own.count(" ", 0, a + 1) - 1 if own[a] != " " else own.count(" ", 0, a), a, b, edits, len(notice))
-        kept: list = []  # of overlapping finds the one of the smallest share of edits, then the longest
+        best: list = []  # of finds of like length the one of the smallest share of edits, then the longest
         for s in sorted(spans.values(), key=lambda s: (s[4] / s[5], -s[5], s[2], s[0])):
-            if not any(s[2] < t[3] and t[2] < s[3] for t in kept):
-                kept.append(s)
+            if not any(alike(s, t) and same_words(s, t) for t in best):
+                best.append(s)
+        kept = [s for s in best if not any(t[5] > s[5] and not alike(s, t) and (t[0] == s[0] or t[0].startswith(f"{s[0]}-")) and same_words(s, t) for t in best)]
         return len(words), base, sorted(kept, key=lambda s: (s[2], s[3], s[0]))
 
 

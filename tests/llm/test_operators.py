@@ -408,6 +408,13 @@ def test_licenses(odd, none):
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out) and licenses.digest(none).count() == 0
 
 
+def test_license_overlaps(spark):
+    texts = ["gnu leser general public license", "gnu afero general public license", "gnu leser generl public license", "licensed under the apache license version 2 O", "licensed under cc by nc 4 0", "licensed under the gnu genral public license", "mozilla public license eclipse public license", "gnu lesser general public license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["gpl,lgpl", "agpl,gpl", "gpl,lgpl", "apache-2.0", "cc-by,cc-by-nc", "gpl", "epl,mpl", "gpl,lgpl"]
+
+
 def test_license_counts(small):
     for r in licenses.digest(small).collect():
         t = small.where(F.col("doc_id") == r["doc_id"]).first()["text"] if r["n_base"] else None
