@@ -3,8 +3,8 @@
 A page is parsed to a tree. Every element subtree is hashed bottom-up from its tag, attributes, text and children. Spark
 counts, for each host, on how many pages each hash of a container occurs, and on how many pages the host has. A container
 that recurs on at least ``LEAST_PAGES`` pages and on ``SHARE`` of the host's pages is part of the site's template and is
-deleted wherever it occurs. Containers are all elements, but inside an article only
-those without paragraphs, headings, quotes or code, so a repeated article keeps its words. A host has at most
+deleted wherever it occurs. Containers are all elements, but inside an article only those without paragraphs, headings, quotes,
+code or any text outside of links, so a repeated article keeps its words, lists and tables too. A host has at most
 ``subtrees a page / SHARE`` templates, so its list is bounded however many pages it has.
 
 What a template cannot show, because a host has few pages or its menus differ by page, is judged by markup: elements that never
@@ -53,10 +53,10 @@ _SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "mark", "in_article", "prose")
+    __slots__ = ("tag", "attrs", "kids", "mark", "in_article", "prose", "words")
 
     def __init__(self, tag: str, attrs: str, in_article: bool):
-        self.tag, self.attrs, self.kids, self.mark, self.in_article, self.prose = tag, attrs, [], 0, in_article, False
+        self.tag, self.attrs, self.kids, self.mark, self.in_article, self.prose, self.words = tag, attrs, [], 0, in_article, False, False
 
     def named(self) -> dict[str, str]:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(self.attrs)}
@@ -131,15 +131,20 @@ def hash_subtrees(root: Node) -> list[Node]:
     for node in reversed(nodes):
         h = xxhash.xxh3_64(f"<{node.tag} {node.attrs.strip()}>")
         node.prose = node.tag in PROSE or any(k.prose for k in node.kids if isinstance(k, Node))
+        node.words = node.in_article and node.tag != "a" and node.tag not in NEVER and any(k.words if isinstance(k, Node) else worded(k) for k in node.kids)
         for k in node.kids:
             h.update(k.mark.to_bytes(8, "little") if isinstance(k, Node) else _SPACE.sub(" ", k).strip().encode("utf-8", "surrogatepass"))
         node.mark = h.intdigest()
     return [x for x in nodes if x.kids and removable(x)]
 
 
+def worded(text: str) -> bool:
+    return not (text.isspace() or not text) and ("&" not in text or bool(entities.unescape(text).strip()))
+
+
 def removable(x: Node) -> bool:
-    """Whether a recurring subtree may go: in an article only what holds no prose."""
-    return x.tag not in ("#root", "html", "body", "head", "article", "main") and not (x.in_article and (x.prose or x.tag in TEXTUAL))
+    """Whether a recurring subtree may go: in an article only what holds no prose and no text but that of links."""
+    return x.tag not in ("#root", "html", "body", "head", "article", "main") and not (x.in_article and (x.prose or x.words or x.tag in TEXTUAL))
 
 
 def unwanted(node: Node) -> bool:

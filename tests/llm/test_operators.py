@@ -289,6 +289,12 @@ def test_html_templates(spark):
     assert html.digest(df.limit(0)).count() == 0
 
 
+def test_html_repeated_articles_keep_their_words(spark):
+    whole = "<article><h1>T</h1><ul><li>one</li><li><a href=x>two</a></li></ul><table><tr><td>a</td><td>1</td></tr></table><section><div>bare</div></section><dl><dt>k</dt></dl><ol><li><a href=y>menu</a></li></ol><div><img src=z>&nbsp;</div></article>"
+    df = spark.createDataFrame([(i, "http://a.example/x", f"<body><div>site</div>{whole}</body>") for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(df).collect()} == {"T\n\none\n\ntwo\n\na\n\n1\n\nbare\n\nk"}
+
+
 # 7
 
 
