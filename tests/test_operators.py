@@ -168,6 +168,13 @@ def test_conflation_and_enrichment(spark, places):
     assert one(report)["matched"] == 1 and one(report)["name_ar_added"] == 1
 
 
+def test_conflation_query_takes_all_objects(spark):
+    from placewright.plans import catalogue
+
+    got = {r["osm_id"] for r in catalogue.QUERIES["conflation"](spark, "/root/testdata/sf0.001").collect()}
+    assert {i % 3 for i in got} == {0, 1, 2}
+
+
 def test_overlay(spark, places):
     rows = [(0, "g1", "Coffee Hill", 46.6750, 24.7120, 4.5, 30, "h", "$", "https://hill.example.com"), (1, "g2", "coffee  hill", 46.6751, 24.7120, 4.7, 40, "h", "$", None)]
     df = spark.createDataFrame(rows, "pos long, place_id string, title string, lon double, lat double, rating double, reviews long, hours string, price string, website string")
