@@ -27,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset: on a cluster the warehouse, on one machine a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/placewright-scratch"
     if not named:
         named = getattr(spark, "_placewright_scratch", None)
         if not named:

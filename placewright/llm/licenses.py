@@ -17,14 +17,18 @@ other columns pass through.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placewright.llm.contamination import masks_of, myers
+
 # Phrases and notices with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 NOTICES = {
@@ -76,7 +80,7 @@ class Scanner:
         found: dict[str, list] = {}
         for k, (phrase, _) in enumerate(self.base):
             found.setdefault(f" {phrase} ", []).append((True, k, 0))
-        self.patterns, self.errors = [], []
+        self.patterns, self.errors, self.masks = [], [], [masks_of(n) for n, _ in self.notices]
         for k, (notice, _) in enumerate(self.notices):
             e = len(notice) // EDIT_SHARE
             self.errors.append(e)
@@ -87,35 +91,47 @@ class Scanner:
         for key, uses in found.items():
             self.automaton.add_word(key, (len(key), uses))
         self.automaton.make_automaton()
+        self.verify = lru_cache(1 << 14)(self.verify)  # notices mostly recur as they are
+        self.cell = 2 * max((len(n) for n, _ in self.notices), default=1)  # no find is longer than a cell
+
+    def verify(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the best match of notice k in a window; windows that Myers' distance rules out never reach ``regex``."""
+        if myers(self.masks[k], len(self.notices[k][0]), window)[0] > self.errors[k]:
+            return None
+        m = self.patterns[k].search(window)
+        return (*m.span(), sum(m.fuzzy_counts)) if m else None
 
     def scan(self, text: str | None):
         """(number of words, [(label, first word)] of base phrases, [(label, first word, start, end, edits, length)])."""
         words = words_of(text)
         own = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
         base, spans, tried = [], {}, set()
+        blanks = np.flatnonzero(np.array([own]).view(np.uint32) == 32) if own.isascii() else np.array([m.start() for m in re.finditer(" ", own)], np.int64)
+        word_at = lambda i: int(np.searchsorted(blanks, i)) - (own[i] != " ")  # noqa: E731  of the word at i, or after the blank at i
         for end, (size, uses) in self.automaton.iter(own):
             for exact, k, at in uses:
                 start = end - size + 1
                 if exact:
-                    base.append((self.base[k][1], own.count(" ", 0, start)))
+                    base.append((self.base[k][1], word_at(start)))
                     continue
                 e, notice = self.errors[k], self.notices[k][0]
                 if (k, start - at) in tried:
                     continue
                 tried.add((k, start - at))
                 lo = max(0, start - at - e)
-                m = self.patterns[k].search(own, lo, min(len(own), start - at + len(notice) + e))
+                m = self.verify(k, own[lo : start - at + len(notice) + e])
                 if m:
-                    a, b = m.span()
-                    edits = sum(m.fuzzy_counts)
+                    a, b, edits = lo + m[0], lo + m[1], m[2]
                     same = (k, a // max(1, e))
                     if same not in spans or edits < spans[same][4]:
-                        spans[same] = (self.notices[k][1], own.count(" ", 0, a + 1) - 1 if own[a] != " " else own.count(" ", 0, a), a, b, edits, len(notice))
-        best: list = []  # of finds of like length the one of the smallest share of edits, then the longest
+                        spans[same] = (self.notices[k][1], word_at(a), a, b, edits, len(notice))
+        # of finds of like length the one of the smallest share of edits, then the longest; finds that overlap stand in neighbouring cells
+        best: dict[int, list] = {}
+        near = lambda s: (t for c in range(s[2] // self.cell - 1, s[2] // self.cell + 2) for t in best.get(c, ()))
         for s in sorted(spans.values(), key=lambda s: (s[4] / s[5], -s[5], s[2], s[0])):
-            if not any(alike(s, t) and same_words(s, t) for t in best):
-                best.append(s)
-        kept = [s for s in best if not any(t[5] > s[5] and not alike(s, t) and (t[0] == s[0] or t[0].startswith(f"{s[0]}-")) and same_words(s, t) for t in best)]
+            if not any(alike(s, t) and same_words(s, t) for t in near(s)):
+                best.setdefault(s[2] // self.cell, []).append(s)
+        kept = [s for own_cell in best.values() for s in own_cell if not any(t[5] > s[5] and not alike(s, t) and (t[0] == s[0] or t[0].startswith(f"{s[0]}-")) and same_words(s, t) for t in near(s))]
         return len(words), base, sorted(kept, key=lambda s: (s[2], s[3], s[0]))
 
 

@@ -17,9 +17,9 @@ sizes differ by the same share at most, and, under any one order of all shingles
 Components come from alternating large-star and small-star steps over tables; nothing of the corpus goes to the driver but
 counts. Hot columns are shipped as an array while at most ``MOST_SHIPPED``, else joined.
 
-Null and empty texts have no shingles, link with nothing and are their own component. Rows of one doc_id are one document
-to its component_id and each get a row; a null doc_id is never a component's id unless all its members are null. Node ids are 64
-bits of a set's hash. Other columns pass through ``keep_one``.
+Every row is a document of its own, whatever its doc_id, which may repeat or be null: rows are told apart by a number given when
+they are first written. Null and empty texts have no shingles, link with nothing and are their own component. A component's id is
+the least doc_id of its rows, null only if all are null. Node ids are 64 bits of a set's hash. Other columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import chunks, cut, text_buffers
+from placewright.llm.common import chunks, cut, free, text_buffers
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import shingle_sets
 
@@ -49,12 +49,12 @@ def stored_size(n: int, percent: int) -> int:
 
 
 def sets(docs: DataFrame, width: int, percent: int, whole: bool = False) -> DataFrame:
-    """doc_id, n (set size), node, low (its least hashes, or all with ``whole``) of every document."""
+    """row, doc_id, n (set size), node, low (its least hashes, or all with ``whole``) of every document. ``docs``: row, doc_id, text."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            rows, ids = batch.column("row"), batch.column("doc_id")
             for i, j in chunks(offsets, CHUNK):
                 n, node, low = [], [], []
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
@@ -63,9 +63,9 @@ def sets(docs: DataFrame, width: int, percent: int, whole: bool = False) -> Data
                     n.append(len(s))
                     node.append(h)
                     low.append((s if whole else s[: stored_size(len(s), percent)]).tobytes())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(low, pa.binary())], ["doc_id", "n", "node", "low"])
+                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(low, pa.binary())], ["row", "doc_id", "n", "node", "low"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, low binary")
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n long, node long, low binary")
 
 
 def prefixes(nodes: DataFrame, percent: int, hot: np.ndarray | None, whole: bool = False, short: bool = False, only: str = "") -> DataFrame:
@@ -153,9 +153,14 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def side(df: DataFrame) -> DataFrame:
+    """A written table as the side of a join that is shipped if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_SHIPPED else df
+
+
 def subset(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (one column of that name); shipped if few, else joined."""
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_SHIPPED else ids, key, "left_semi")
+    return df.join(side(ids), key, "left_semi")
 
 
 def verify(pairs: DataFrame, leads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,14 +201,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, mark = mark, seal(now)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def whole_sets(docs: DataFrame, leads: DataFrame, width: int, percent: int) -> DataFrame:
     """node, n, low (the whole set) of the nodes of ``leads``."""
-    own = cut(leads.select(F.col("lead").alias("doc_id"), "node").distinct())
-    found = sets(subset(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), own.select("doc_id").distinct(), "doc_id"), width, percent, True)
-    return subset(found, own.select("node"), "node").select("node", "n", "low")
+    own = cut(leads.select(F.col("lead").alias("row")))
+    return sets(subset(docs, own, "row"), width, percent, True).select("node", "n", "low")
 
 
 def all_columns(nodes: DataFrame) -> DataFrame:
@@ -270,11 +276,10 @@ def linked_roots(xs: list, ys: list, percent: int) -> set:
 
 
 def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, lead (least doc_id)) of all nodes, and node, root of those that link. ``found``: a table made by ``sets``."""
-    leads = cut(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n")))
-    side = lambda df: F.broadcast(df) if df.count() <= MOST_SHIPPED else df
-    copies = cut(found.where("n > 0").select("node", "doc_id").join(leads.select("node", "lead"), "node").where("doc_id <> lead OR doc_id IS NULL").select("node", "doc_id"))
-    reps = found.where("n > 0").select("node", "doc_id", "n", "low").join(side(copies.select("node", F.col("doc_id").alias("copy"))).alias("c"), (F.col("c.node") == found["node"]) & F.col("copy").eqNullSafe(F.col("doc_id")), "left_anti").select("node", "n", "low")
+    """(node, lead (least row)) of all nodes, and node, root of those that link. ``found``: a table made by ``sets``."""
+    leads = cut(found.where("n > 0").groupBy("node").agg(F.min("row").alias("lead"), F.max("n").alias("n")))
+    copies = cut(found.where("n > 0").select("node", "row").join(leads.select("node", "lead"), "node").where("row <> lead").select("row"))
+    reps = found.where("n > 0").join(side(copies), "row", "left_anti").select("node", "n", "low")
     none = np.zeros(0, np.uint64)
     common = cut(prefixes(reps, percent, none, only="token").groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= HOT).select("token"))
     touched = cut(prefixes(reps, percent, none).select("token", "node").join(side(common), "token").select("node").distinct())
@@ -317,19 +322,34 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
     return leads.select("node", "lead"), cut(roots)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row, written so that it stays the same."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
+def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, n, root (a node that names the row's class; null without shingles). ``docs``: row, doc_id, text."""
+    found = cut(sets(docs, width, percent))
+    _, roots = links(docs, found, width, percent)
+    roots = side(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    own = found.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return cut(own.join(roots, "node", "left").select("row", "doc_id", "n", F.coalesce("root", "node").alias("root")))
+
+
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    found = cut(sets(docs, width, percent))
-    leads, roots = links(docs, found, width, percent)
-    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    least = linked.join(leads, "node").groupBy("root").agg(F.min("lead").alias("component"))
-    named = linked.join(least, "root").select("node", "component")
-    table = cut(leads.join(named, "node", "left").select("node", F.coalesce("component", "lead").alias("component")))  # else a hot node's join can't be split
-    out = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(table, "node", "left")
+    own = members(numbered(docs.select("doc_id", "text"), "row"), width, percent)
+    least = cut(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("k")))
+    out = own.where("root IS NOT NULL").join(side(least.where("k > 1").select("root", "component")), "root", "left")
+    out = out.unionByName(own.where("root IS NULL").withColumn("component", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it."""
-    gone = classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each class: that of the least doc_id, nulls last; of several such rows the first. Rows without words all stay."""
+    row = free(docs.columns, "_row")
+    keyed = numbered(docs, row)
+    own = members(keyed.select(F.col(row).alias("row"), "doc_id", "text"), width, percent)
+    best = own.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
+    gone = own.join(side(cut(best.where("k > 1"))), "root").where("row <> first").select(F.col("row").alias(row))
+    return keyed.join(side(cut(gone)), row, "left_anti").select(*docs.columns)

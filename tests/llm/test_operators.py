@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,6 +86,16 @@ def test_ngram_join_empty(none, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {1, 4, 5, 6, 10, 12}
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    rnd = random.Random(8)
+    a, b, c = (" ".join(f"w{rnd.randint(0, 900)}" for _ in range(60)) for _ in range(3))
+    data = [(3, a), (5, a + " zz"), (5, b), (None, c), (7, c), (8, c), (None, "lone words of a row without id here"), (9, ""), (9, None), (None, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("row", F.lit("clash")).repartition(3)
+    assert rows(ngram_join.classes(df, 5, 80), "doc_id", "n_shingles", "component_id") == brute_components(pairs_of(df), 5, 80)
+    got = sorted(pairs_of(ngram_join.keep_one(df)), key=repr)
+    assert got == sorted([(3, a), (5, b), (7, c), *data[6:]], key=repr)
+
+
 # 2
 
 
@@ -421,10 +432,48 @@ def test_license_overlaps(spark):
     assert [got[i] for i in range(len(texts))] == ["gpl,lgpl", "agpl,gpl", "gpl,lgpl", "apache-2.0", "cc-by,cc-by-nc", "gpl", "epl,mpl", "gpl,lgpl"]
 
 
-def test_license_counts(small):
-    for r in licenses.digest(small).collect():
-        t = small.where(F.col("doc_id") == r["doc_id"]).first()["text"] if r["n_base"] else None
-        if t:
-            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-            at = sorted(i for p in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), at[0], at[-1])
+def brute_base(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    at = sorted((i, x) for p, x in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+    return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))
+
+
+def test_license_counts(small, odd):
+    """All rows, hits or not."""
+    for docs in (small, odd):
+        texts, got = defaultdict(list), defaultdict(list)
+        for d, t in pairs_of(docs):
+            texts[d].append(brute_base(t))
+        for r in licenses.digest(docs).collect():
+            got[r["doc_id"]].append((r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]))
+            assert set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""}
+        assert got == texts and (docs is odd or any(v[0][1] for v in texts.values()))
+
+
+def test_license_spans_against_all_distances():
+    """Labels of misspelt notices among other words: exactly those whose least edit distance to a stretch of the text is within bounds."""
+    rnd, s = random.Random(4), licenses.Scanner()
+    for _ in range(150):
+        notice, label = rnd.choice(list(licenses.NOTICES.items()))
+        x = list(notice)
+        for _ in range(rnd.randint(0, len(notice) // licenses.EDIT_SHARE + 2)):
+            x[rnd.randrange(len(x))] = rnd.choice(["", "z", "qq"])
+        text = " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(5)) + " " + "".join(x) + " delta"
+        own = " " + " ".join(w.decode() for w in licenses.words_of(text)) + " "
+        within = {y for n, y in licenses.NOTICES.items() if brute_distance(n, own) <= len(n) // licenses.EDIT_SHARE}
+        spans = s.scan(text)[2]
+        assert bool(spans) == bool(within) and {p[0] for p in spans} <= within
+        for _, first, a, b, edits, size in spans:
+            assert own[:a].strip().count(" ") + bool(own[:a].strip()) in (first, first + 1) and edits <= size // licenses.EDIT_SHARE
+
+
+def test_license_scan_grows_with_the_text():
+    """Ten times as many notices: some ten times the work, not a hundred times."""
+    s, text = licenses.Scanner(), " licensed under the apache license version 2 O or so all rights reserved"
+    times = []
+    for n in (500, 5000):
+        began = time.process_time()
+        count, base, spans = s.scan(text * n)
+        times.append(time.process_time() - began)
+        assert count == 13 * n and [w for _, w in base] == [13 * i + 10 for i in range(n)] and len(spans) == 2 * n
+    assert times[1] < 30 * times[0]
