@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import chunks, cut, free, text_buffers
+from placewright.llm.common import chunks, cut, free, numbered, text_buffers
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import shingle_sets
 
@@ -322,11 +322,6 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
     return leads.select("node", "lead"), cut(roots)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number for each row, written so that it stays the same."""
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()))
-
-
 def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """row, doc_id, n, root (a node that names the row's class; null without shingles). ``docs``: row, doc_id, text."""
     found = cut(sets(docs, width, percent))

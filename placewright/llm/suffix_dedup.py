@@ -2,33 +2,34 @@
 
 Every byte covered by a ``LENGTH``-byte string that also starts earlier (in a smaller doc_id, or in the same text before) goes.
 
-A string's anchor is its ``GRAM``-byte substring of least hash, so equal strings have equal anchors in the same place.
-Consecutive strings with one anchor form a snippet of some 135 bytes. Only hashes of anchors and snippets are shuffled:
-an anchor found once proves its strings unique; a snippet that an earlier document also has goes as a whole. What remains are
-the first copies of snippets whose anchor has other snippets as well, at the edges of repeats. Their bytes are dealt to shards
-by anchor, so equal strings always meet in one shard, and no merging of shards is needed. Each shard builds its suffix array by
-Larsson-Sadakane refinement (ranks of 8 bytes, doubled while groups are unsorted), Kasai's common prefixes (in step over all
-snippets), and takes the earliest start of each run of common prefixes of ``LENGTH`` or more. An anchor with more than
-``VARIANTS`` snippets would overfill a shard; its strings are matched one by one by a 128-bit hash, in a grouped table.
-
-The table of repeated snippets is shipped to the tasks while it has at most ``MOST_SHIPPED`` entries, else joined.
-
-Null and empty texts have no bytes. Rows of one doc_id are neither earlier than the other; each is judged alone against smaller
-ids. A null doc_id counts as the smallest. ``dedup`` decodes what is left, replacing cut code points, and passes other columns.
+1. Discarding by hash. A string's anchor is its ``GRAM``-byte substring of least hash, so equal strings have equal anchors in the same
+   place. Consecutive strings with one anchor form a snippet of some 135 bytes. Places of snippets are sorted by the anchor's hash; an
+   anchor found once proves its strings unique, and they go no further. Nothing is removed on a hash.
+2. Shards. The bytes of all other snippets are dealt to shards by anchor, so equal strings meet in one shard. An anchor with more than
+   ``SPLIT`` places is dealt to several, a text's places never apart. A shard builds the suffix array of its different snippets by
+   Larsson-Sadakane refinement (ranks of 8 bytes, doubled while groups are unsorted) and Kasai's common prefixes (in step over all
+   snippets). Runs of common prefixes of ``LENGTH`` or more are equal strings; all their places but the earliest go.
+3. Merging. Strings of split anchors may recur in other shards. Each shard gives them in the order of its suffix array with their
+   least doc_id; ranges of that order are merged from all shards by binary search, and a shard whose least doc_id isn't the least of all
+   removes its first places too.
+
+Texts go to shards and back in buckets of rows of some ``BUCKET`` bytes; nothing of the corpus is shipped to all tasks or to the
+driver but counts, and there is one way for every size. The sort by anchors reads an anchor's places as a stream.
+
+Every row is a text of its own, numbered when first written. Null and empty texts have no bytes. Of rows of one doc_id (or of null
+ids, which count as the smallest) neither is earlier than the other; each is judged against smaller ids and its own text. ``dedup``
+decodes what is left, replacing cut code points, and passes other columns.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import cut, free, parts, text_buffers
+from placewright.llm.common import cut, free, numbered, parts, text_buffers
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import inverses, powers
 
@@ -36,8 +37,9 @@ LENGTH = 100
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 18
-MOST_SHIPPED = 4_000_000
-VARIANTS = 30_000
+BUCKET = 8 << 20
+SHARD = 1 << 20
+SPLIT = 4000
 NO_ID = -(1 << 63)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64), 77)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -55,7 +57,7 @@ def window_least(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor hash, snippet hash, first and last string start of every snippet, in order; strings stay within texts."""
+    """Anchor hash, first and last string start of every snippet, in order; strings stay within texts."""
     out: list[tuple] = []
     n = len(data)
     for lo in range(0, max(0, n - LENGTH + 1), SEGMENT):
@@ -78,9 +80,8 @@ def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             a = at[i]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (i[1:] != i[:-1] + 1)])
             i0, i1, a = i[new], i[np.concatenate([new[1:], [True]])], a[new]
-            s = mix((total[i1 + LENGTH] - total[i0]) * back[i0] + (i1 - i0).astype(np.uint64), 6)
-        out.append((h[a], s, i0 + lo, i1 + lo))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out.append((h[a], i0 + lo, i1 + lo))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def groups_of(offsets: np.ndarray, most: int = SEGMENT):
@@ -91,156 +92,136 @@ def groups_of(offsets: np.ndarray, most: int = SEGMENT):
         i = j
 
 
-def _texts(batch, name: str = "text"):
-    """(ids, data, offsets) of pieces of a batch."""
-    data, offsets = text_buffers(batch.column(name))
-    ids = np.array([NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-    for i, j in groups_of(offsets):
-        yield i, ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-
-
-def _repeats(h: np.ndarray, s: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Which snippets their own text had before."""
-    order = np.lexsort((np.arange(len(h)), s, h, row))
-    out = np.zeros(len(h), bool)
-    if len(h):
-        a, b = order[1:], order[:-1]
-        out[a] = (h[a] == h[b]) & (s[a] == s[b]) & (row[a] == row[b])
-    return out
+def _blobs(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values: the rows of ``flat`` between edges, without copying."""
+    flat = np.ascontiguousarray(flat)
+    width = flat.itemsize * (flat.shape[1] if flat.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(flat)])
 
 
-def _batch(names: list[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c) for c in columns], names)
+def _unpack(column, kind, width: int = 1) -> np.ndarray:
+    data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.frombuffer(text_buffers(data)[0].tobytes(), kind)
+    return flat.reshape(-1, width) if width > 1 else flat
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """h, s, first (least doc_id), k (documents), v (snippets of the anchor) of snippets that recur or have a variant."""
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal values, and the end."""
+    new = np.ones(len(sorted_) + 1, bool)
+    new[1:-1] = sorted_[1:] != sorted_[:-1]
+    return np.flatnonzero(new) if len(sorted_) else np.zeros(1, np.int64)
 
-    def run(batches):
-        for batch in batches:
-            for _, ids, data, offsets in _texts(batch):
-                h, s, i0, _ = snippets(data, offsets)
-                row = np.searchsorted(offsets, i0, "right") - 1
-                doc = ids[row] if len(h) else np.zeros(0, np.int64)
-                # snippets of one text count once, and its repeats make the anchor a candidate; pre-aggregated here
-                order = np.lexsort((doc, s, h))
-                h, s, doc, row = h[order], s[order], doc[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-                at = np.flatnonzero(new)
-                k = np.diff(np.concatenate([at, [len(h)]]))
-                yield _batch(["h", "s", "doc", "k"], h[at], s[at], doc[at], k.astype(np.int64))
-
-    def sum_up(batches):
-        rest = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            now = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("h", "s", "doc", "k"))]
-            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            rest = [x[last:] for x in now]
-            yield block(*[x[:last] for x in now])
-        yield block(*rest)
-
-    def block(h, s, doc, k):
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        at = np.flatnonzero(new)
-        if not len(at):
-            return _batch(["h", "s", "first", "k", "v"], h, s, doc, k, k)
-        first, k, h, s = np.minimum.reduceat(doc, at), np.add.reduceat(k, at), h[at], s[at]
-        _, inv, v = np.unique(h, return_inverse=True, return_counts=True)
-        v = v[inv].astype(np.int64)
-        keep = (k > 1) | (v > 1)
-        return _batch(["h", "s", "first", "k", "v"], h[keep], s[keep], first[keep], k[keep], v[keep])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "h long, s long, doc long, k long")
-    return rows.repartition("h").sortWithinPartitions("h", "s").mapInArrow(sum_up, "h long, s long, first long, k long, v long")
+def bucket_of(row, buckets: int):
+    """Of a column or an array of row numbers (partition above 33 bits, place below)."""
+    if isinstance(row, Column):
+        return F.pmod(row + F.shiftright(row, 33), F.lit(buckets))
+    return (row + (row >> 33)) % buckets
 
 
-def _key(h: np.ndarray, s: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(mix(h.view(np.uint64), 12) + s.view(np.uint64), 13)
+def places(keyed: DataFrame) -> DataFrame:
+    """h (hash of an anchor), at: its snippets in some texts, as pairs of int64 (row, first start << 7 | number of starts - 1)."""
 
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            rows = batch.column("row").to_numpy()
+            for i, j in groups_of(offsets):
+                base = offsets[i : j + 1] - offsets[i]
+                h, i0, i1 = snippets(data[offsets[i] : offsets[j]], base)
+                own = np.searchsorted(base, i0, "right") - 1
+                order = np.argsort(h, kind="stable")
+                pairs = np.stack([rows[i + own], (i0 - base[own]) << 7 | (i1 - i0)], 1)[order] if len(h) else np.zeros((0, 2), np.int64)
+                edges = _edges(h[order])
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][edges[:-1]].view(np.int64)), _blobs(pairs, edges)], ["h", "at"])
 
-_FOUND = "doc_id long, gone binary, h long, start long, v long, bytes binary"
+    return keyed.select("row", "text").mapInArrow(run, "h long, at binary")
 
 
-def _found(doc: int, data: np.ndarray, i0: np.ndarray, i1: np.ndarray, h: np.ndarray, first: np.ndarray, v: np.ndarray, again: np.ndarray) -> list[tuple]:
-    """Rows of one text: its starts that go as whole snippets (ranges), and the snippets to compare."""
-    gone = (first < doc) | again
-    out = []
-    if gone.any():
-        out.append((doc, np.stack([i0[gone], i1[gone]], 1).tobytes(), None, None, None, None))
-    for x in np.flatnonzero(~gone & (v > 1)):
-        out.append((doc, None, int(h[x].view(np.int64)) if h.dtype == np.uint64 else int(h[x]), int(i0[x]), int(v[x]), data[i0[x] : i1[x] + LENGTH].tobytes()))
-    return out
+def recurring(found: DataFrame, buckets: int, shards: int, split: int) -> DataFrame:
+    """bucket, at: int64 rows (row, start << 7 | number - 1, shard << 1 | whether its anchor is split) of snippets whose anchor recurs."""
 
-
-def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    cols = [*zip(*rows)] or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "gone", "h", "start", "v", "bytes"])
-
-
-def label(docs: DataFrame, known: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
-    """Rows as in ``_FOUND``: whole snippets that go, and snippets to compare."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text")
-    if known.count() <= most_shipped:
-        def keys_of(batches):
-            for batch in batches:
-                h, s = (batch.column(c).to_numpy() for c in "hs")
-                yield pa.RecordBatch.from_arrays([pa.array(_key(h, s).view(np.int64)), batch.column("first"), batch.column("v").cast(pa.int32(), safe=False)], ["key", "first", "v"])
-
-        rows = known.select("h", "s", "first", "v").mapInArrow(keys_of, "key long, first long, v int").orderBy("key").toArrow()
-        keys, first, v = (rows.column(c).to_numpy() for c in ("key", "first", "v"))
-        del rows
-        shared = spark.sparkContext.broadcast((keys, first, v))
-        del keys, first, v
-
-        def run(batches):
-            keys, first, v = shared.value
-            for batch in batches:
-                for _, ids, data, offsets in _texts(batch):
-                    h, s, i0, i1 = snippets(data, offsets)
-                    if not len(h) or not len(keys):
-                        continue
-                    own = _key(h, s).view(np.int64)
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    hit = keys[at] == own
-                    h, s, i0, i1, at = h[hit], s[hit], i0[hit], i1[hit], at[hit]
-                    row = np.searchsorted(offsets, i0, "right") - 1
-                    again, out = _repeats(h, s, row), []
-                    for d in np.unique(row):
-                        m = slice(*np.searchsorted(row, [d, d + 1]))
-                        out += _found(int(ids[d]), data[offsets[d] : offsets[d + 1]], i0[m] - offsets[d], i1[m] - offsets[d], h[m], first[at[m]], v[at[m]], again[m])
-                    yield _found_batch(out)
-
-        return keyed.mapInArrow(run, _FOUND)
-
-    keyed = cut(keyed.withColumn("_row", F.monotonically_increasing_id()))
-
-    def occurrences(batches):
-        for batch in batches:
-            places = batch.column("_row").to_numpy()
-            for at, _, data, offsets in _texts(batch):
-                h, s, i0, i1 = snippets(data, offsets)
-                row = np.searchsorted(offsets, i0, "right") - 1
-                again = _repeats(h, s, row)
-                base = offsets[row] if len(row) else row
-                yield _batch(["_row", "h", "s", "i0", "i1", "again"], places[at + row] if len(row) else row, h, s, i0 - base, i1 - base, again.astype(np.int64))
-
-    places = keyed.mapInArrow(occurrences, "_row long, h long, s long, i0 long, i1 long, again long").join(known, ["h", "s"])
-    listed = places.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("i0", "i1", "h", "first", "v", "again"))).alias("places"))  # as many as a text has
-
-    def take(batches):
+    def run(batches):
+        h, n, pairs, hot, sub = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None, 0
         for batch in batches:
-            out = []
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                cols = [np.array([p[c] for p in own], np.int64) for c in ("i0", "i1", "h", "first", "v", "again")]
-                out += _found(NO_ID if doc is None else doc, np.frombuffer((text or "").encode(), np.uint8), *cols[:5], cols[5] > 0)
-            yield _found_batch(out)
-
-    return keyed.join(listed, "_row").select("doc_id", "text", "places").mapInArrow(take, _FOUND)
+            h = np.concatenate([h, batch.column("h").to_numpy()])
+            n = np.concatenate([n, np.diff(text_buffers(batch.column("at"))[1]) // 16])
+            pairs = np.concatenate([pairs, _unpack(batch.column("at"), np.int64, 2)])
+            if not len(h):
+                continue
+            last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            ready = int(n[:last].sum())
+            out = [take(h[:last], n[:last], pairs[:ready], hot, sub)]
+            if last and hot is not None and h[0] == hot:
+                hot = None
+            h, n, pairs = h[last:], n[last:], pairs[ready:]
+            if len(pairs) > split:  # no more than that is held of one anchor
+                sub = sub + 1 if hot == h[0] else 0
+                hot = h[0]
+                out.append(pack(pairs, np.full(len(pairs), shard_of(hot, sub) << 1 | 1)))
+                h, n, pairs = h[:0], n[:0], pairs[:0]
+            yield from (x for x in out if x.num_rows)
+        yield take(h, n, pairs, hot, sub)
+
+    def shard_of(h, sub):
+        return (mix(np.asarray(h, np.int64).view(np.uint64) ^ mix(np.asarray(sub, np.uint64), 3), 41) % np.uint64(shards)).astype(np.int64)
+
+    def take(h, n, pairs, hot, sub):
+        edges = _edges(h)
+        if len(edges) < 2:
+            return pack(pairs[:0], pairs[:0, 0])
+        total = np.add.reduceat(n, edges[:-1])
+        k = np.diff(edges)
+        many, number = total > split, np.zeros(len(h), np.int64)
+        if many.any():  # by runs of whole pieces
+            before = np.cumsum(n) - n
+            number = np.where(np.repeat(many, k), (before - np.repeat(before[edges[:-1]], k)) // split, 0)
+        if hot is not None and h[0] == hot:
+            many[0] = True
+            number[: k[0]] += sub + 1
+        keep, many = np.repeat((total > 1) | many, k), np.repeat(many, k)
+        shard = shard_of(h, number) << 1 | many
+        return pack(pairs[np.repeat(keep, n)], np.repeat(shard[keep], n[keep]))
+
+    def pack(pairs, shard):
+        b = bucket_of(pairs[:, 0], buckets)
+        order = np.argsort(b, kind="stable")
+        edges = _edges(b[order])
+        flat = np.column_stack([pairs, shard])[order].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(b[order][edges[:-1]].astype(np.int64)), _blobs(flat, edges)], ["bucket", "at"])
+
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "bucket long, at binary")
+
+
+_SNIPPETS = "shard long, size binary, doc binary, row binary, start binary, open binary, data binary"
+
+
+def snippet_rows(keyed: DataFrame, at: DataFrame) -> DataFrame:
+    """One row a bucket and shard: the bytes of its snippets with lengths, doc_ids, rows and starts."""
+
+    def run(texts: pa.Table, at: pa.Table) -> pa.Table:
+        found = _unpack(at.column("at"), np.int64, 3)
+        names = ["shard", "size", "doc", "row", "start", "open", "data"]
+        if not len(found) or not texts.num_rows:
+            return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 6], names)
+        rows = texts.column("row").to_numpy()
+        docs = texts.column("doc_id").fill_null(NO_ID).to_numpy()
+        data, offsets = text_buffers(texts.column("text").combine_chunks())
+        by_row = np.argsort(rows)
+        found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 2] >> 1))]
+        own = by_row[np.searchsorted(rows, found[:, 0], sorter=by_row)]
+        start, size = found[:, 1] >> 7, (found[:, 1] & 127) + LENGTH
+        edges = _edges(found[:, 2] >> 1)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out, raw, first = np.empty(ends[-1], np.uint8), memoryview(data), offsets[own] + start
+        for k in range(0, len(size), 8192):  # gathered in blocks, so that indices stay small
+            m = slice(k, k + 8192)
+            out[ends[k] : ends[min(k + 8192, len(size))]] = data[np.repeat(first[m] - (ends[:-1][m] - ends[k]), size[m]) + np.arange(size[m].sum())]
+        del raw
+        cols = [_blobs(x, edges) for x in (size.astype(np.int32), docs[own], found[:, 0], start, (found[:, 2] & 1).astype(np.int8))]
+        return pa.table([pa.array(found[edges[:-1], 2] >> 1), *cols, _blobs(out, ends[edges])], names)
+
+    return keyed.select("row", "doc_id", "text", "bucket").groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(run, _SNIPPETS)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -303,128 +284,162 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, orde
     return out
 
 
-def later_starts(rows: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, start of strings of a shard's snippets that start earlier elsewhere in the shard."""
-    blobs = rows["bytes"].tolist()
+def ranges(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows (row, first, last) of runs of starts."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    if not len(row):
+        return np.zeros((0, 3), np.int64)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(start) > 1)])
+    return np.stack([row[new], start[new], start[np.concatenate([new[1:], [True]])]], 1)
+
+
+def range_rows(r: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
+    b = bucket_of(r[:, 0], buckets)
+    order = np.argsort(b, kind="stable")
+    edges = _edges(b[order])
+    return pa.array(b[order][edges[:-1]].astype(np.int64)), _blobs(r[order], edges)
+
+
+def equal_strings(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of different snippets: their bytes, starts, and of each byte's string its run of equal strings and whether it is whole; runs are in order."""
     lens = np.array([len(b) for b in blobs], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else lens
+    starts = np.cumsum(lens) - lens
     data = np.frombuffer(b"".join(blobs), np.uint8)
     order = suffix_array(data)
     lcp = common_prefixes(data, starts, lens, order)
-    which = np.repeat(np.arange(len(lens)), lens)
-    inside = np.arange(len(data)) - starts[which]
-    whole = inside + LENGTH <= lens[which]
-    run = np.cumsum(lcp < LENGTH) - 1
-    at = np.flatnonzero(whole[order])
-    pos, run = order[at], run[at]
-    doc, start = rows["doc_id"].to_numpy()[which[pos]], rows["start"].to_numpy()[which[pos]] + inside[pos]
-    move = np.lexsort((start, doc, run))
-    again = np.concatenate([[False], run[move][1:] == run[move][:-1]])
-    first_doc = doc[move][np.maximum.accumulate(np.where(again, 0, np.arange(len(move))))] if len(move) else doc
-    first_start = start[move][np.maximum.accumulate(np.where(again, 0, np.arange(len(move))))] if len(move) else start
-    later = (doc[move] > first_doc) | (doc[move] == first_doc) & (start[move] > first_start)
-    return pd.DataFrame({"doc_id": doc[move][later], "start": start[move][later]})
-
-
-def _ranges(starts: np.ndarray) -> bytes:
-    """Sorted starts as (first, last) of runs."""
-    starts = np.unique(starts)
-    new = np.concatenate([[True], np.diff(starts) > 1]) if len(starts) else np.zeros(0, bool)
-    return np.stack([starts[new], starts[np.concatenate([new[1:], [True]])]], 1).tobytes() if len(starts) else b""
-
-
-def _ranges_by_doc(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    if not len(doc):
-        return []
-    other = np.concatenate([[True], doc[1:] != doc[:-1]])
-    new = other | np.concatenate([[True], np.diff(start) > 1])
-    runs = np.stack([start[new], start[np.concatenate([new[1:], [True]])]], 1)
-    edges = np.append(np.flatnonzero(other[new]), len(runs))
-    return [(int(d), runs[a:b].tobytes()) for d, a, b in zip(doc[other], edges, edges[1:])]
-
-
-def compared(found: DataFrame, n_few: int) -> DataFrame:
-    """doc_id, gone (ranges of starts) from comparing snippets of anchors with several."""
-    spark = found.sparkSession
-    rows = found.where("bytes IS NOT NULL").select("doc_id", "h", "start", "v", "bytes")
-    shards = max(1, 4 * parts(spark), n_few // 5000)
-
-    def shard(batch: pd.DataFrame) -> pd.DataFrame:
+    run = np.empty(len(data), np.int64)
+    run[order] = np.cumsum(lcp < LENGTH) - 1
+    return data, starts, lens, run
+
+
+_JUDGED = "bucket long, gone binary, shard long, strings binary, least binary, run binary, row binary, start binary"
+
+
+def judged(rows: DataFrame, buckets: int) -> DataFrame:
+    """Ranges of starts that go (bucket, gone); of split anchors a row a shard with strings in order, their least doc_id, and the places that have it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        size, doc, row, start, open_ = (_unpack(t.column(c), k) for c, k in (("size", np.int32), ("doc", np.int64), ("row", np.int64), ("start", np.int64), ("open", np.int8)))
+        raw, ends = _unpack(t.column("data"), np.uint8).tobytes(), np.cumsum(size, dtype=np.int64)
+        different: dict[bytes, int] = {}
+        which = np.array([different.setdefault(raw[b - k : b], len(different)) for b, k in zip(ends.tolist(), size.tolist())], np.int64)
+        data, starts, lens, runs = equal_strings(list(different))
+        n = lens[which] - LENGTH + 1  # strings of each place
+        place = np.repeat(np.arange(len(which)), n)
+        inside = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        own = runs[starts[which[place]] + inside]
+        least = np.full(len(data), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, doc[place])
+        again = doc[place] > least[own]
+        # in the least doc_id's texts an earlier start counts too: only rows with several places here can have one
+        _, back, times = np.unique(row, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(~again & (times[back] > 1)[place])
+        at = start[place] + inside
+        few = few[np.lexsort((at[few], row[place[few]], own[few]))]
+        again[few[1:]] |= (own[few[1:]] == own[few[:-1]]) & (row[place[few[1:]]] == row[place[few[:-1]]])
+        bucket, gone = range_rows(ranges(row[place[again]], at[again]), buckets)
+        none = lambda k: pa.nulls(len(bucket), k)
+        out = [bucket, gone, none(pa.int64()), *[none(pa.binary())] * 5]
+        rest = np.flatnonzero(~again & (open_ > 0)[place])
+        if len(rest):
+            rest = rest[np.argsort(own[rest], kind="stable")]
+            keys, first, number = np.unique(own[rest], return_index=True, return_inverse=True)
+            where = starts[which[place[rest[first]]]] + inside[rest[first]]
+            strings = data[where[:, None] + np.arange(LENGTH)]
+            more = [x.tobytes() for x in (strings, least[keys], number.astype(np.int64), row[place[rest]], at[rest])]
+            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([t.column("shard")[0].as_py()]), *[pa.array([x], pa.binary()) for x in more]]
+            out = [pa.concat_arrays([x, y]) for x, y in zip(out, last)]
+        return pa.table(out, [c.split()[0] for c in _JUDGED.split(", ")])
+
+    return rows.groupBy("shard").applyInArrow(run, _JUDGED)
+
+
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in order and their least doc_id, of sorted runs of such; two by two, by binary search."""
+    while len(runs) > 1:
         out = []
-        order = np.argsort(batch["h"].to_numpy(), kind="stable")
-        batch = batch.iloc[order]
-        size = np.cumsum([len(b) for b in batch["bytes"]])
-        edges = np.searchsorted(size, np.arange(1 << 20, size[-1] + (1 << 20), 1 << 20)) if len(size) else []
-        h, lo = batch["h"].to_numpy(), 0
-        for e in edges:  # blocks of about 1 MB that keep an anchor's snippets together
-            hi = int(np.searchsorted(h, h[min(e, len(h) - 1)], "right"))
-            if hi > lo:
-                later = later_starts(batch.iloc[lo:hi])
-                out += _ranges_by_doc(later["doc_id"].to_numpy(), later["start"].to_numpy())
-                lo = hi
-        return pd.DataFrame(out, columns=["doc_id", "gone"]).astype({"doc_id": "int64"})
-
-    few = rows.where(F.col("v") <= VARIANTS).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(shard, "doc_id long, gone binary")
+        for (s, a), (t, b) in zip(runs[::2], runs[1::2]):
+            at = np.searchsorted(s, t)
+            same = s[np.minimum(at, len(s) - 1)] == t
+            a = a.copy()
+            a[at[same]] = np.minimum(a[at[same]], b[same])
+            out.append((np.insert(s, at[~same], t[~same]), np.insert(a, at[~same], b[~same])))
+        runs = out + (runs[-1:] if len(runs) % 2 else [])
+    return runs[0]
 
-    def strings(batches):
-        for batch in batches:
-            doc, start, a, b = [], [], [], []
-            for d, at, blob in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("bytes").to_pylist()):
-                for k in range(len(blob) - LENGTH + 1):
-                    x = hashlib.blake2b(blob[k : k + LENGTH], digest_size=16).digest()
-                    doc.append(d)
-                    start.append(at + k)
-                    a.append(int.from_bytes(x[:8], "little", signed=True))
-                    b.append(int.from_bytes(x[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, doc, start)], ["a", "b", "doc_id", "start"])
-
-    many = rows.where(F.col("v") > VARIANTS).mapInArrow(strings, "a long, b long, doc_id long, start long")
-    first = many.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = many.join(first, ["a", "b"])
-    # within the first document an earlier start counts too
-    own = later.where("doc_id = first").groupBy("a", "b").agg(F.min("start").alias("at"))
-    later = later.join(own, ["a", "b"]).where("doc_id > first OR start > at")
-    lone = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))  # as many as a text has bytes
-
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_ranges(np.array(x, np.int64)) for x in batch.column("starts").to_pylist()], pa.binary())], ["doc_id", "gone"])
 
-    return few.union(lone.mapInArrow(pack, "doc_id long, gone binary"))
+def merged(judged_: DataFrame, buckets: int) -> DataFrame:
+    """bucket, gone: places of split anchors' strings that other shards have in a smaller doc_id."""
+    held = judged_.where("shard IS NOT NULL")
 
-
-def removed(docs: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
+    def strings(batches):
+        for batch in batches:
+            for shard, s, least in zip(batch.column("shard").to_pylist(), batch.column("strings").to_pylist(), batch.column("least").to_pylist()):
+                n = len(s) // LENGTH
+                yield pa.RecordBatch.from_arrays([_blobs(np.frombuffer(s, np.uint8), np.arange(n + 1) * LENGTH), pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(np.frombuffer(least, np.int64))], ["s", "shard", "run", "least"])
+
+    def merge(batches):
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables)
+        s = np.frombuffer(_unpack(t.column("s"), np.uint8).tobytes(), f"S{LENGTH}")
+        shard, number, least = (t.column(c).to_numpy() for c in ("shard", "run", "least"))
+        edges = _edges(shard)  # sorted by shard and string
+        all_, first = merge_runs([(s[a:b], least[a:b]) for a, b in zip(edges, edges[1:])])
+        for a, b in zip(edges, edges[1:]):
+            now = first[np.searchsorted(all_, s[a:b])]
+            late = now < least[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array([shard[a]]), pa.array([number[a:b][late].tobytes()], pa.binary())], ["shard", "late"])
+
+    total = held.agg(F.sum(F.length("strings"))).first()[0]
+    if not total:
+        return judged_.where("shard IS NOT NULL").select("bucket", "gone")
+    ranges_ = max(parts(judged_.sparkSession), total // (16 << 20))
+    all_strings = held.select("shard", "strings", "least").mapInArrow(strings, "s binary, shard long, run long, least long")
+    late = all_strings.repartitionByRange(ranges_, "s").sortWithinPartitions("shard", "s").mapInArrow(merge, "shard long, late binary")
+
+    def resolve(own: pa.Table, late: pa.Table) -> pa.Table:
+        run, row, start = (_unpack(own.column(c), np.int64) for c in ("run", "row", "start"))
+        hit = np.isin(run, _unpack(late.column("late"), np.int64))
+        return pa.table(list(range_rows(ranges(row[hit], start[hit]), buckets)), ["bucket", "gone"])
+
+    return held.select("shard", "run", "row", "start").groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(resolve, "bucket long, gone binary")
+
+
+def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """``docs`` with text as bytes in ``kept``, and ``n_bytes``, ``n_removed``, ``n_spans``."""
-    known = cut(repeated(docs))
-    found = cut(label(docs, known, most_shipped))
-    ranges = found.where("gone IS NOT NULL").select("doc_id", "gone").union(compared(found, known.where(F.col("v").between(2, VARIANTS)).count())).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    gone_id, key = free(docs.columns, "_gone"), free(docs.columns, "_id")
-    extra = [T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            kept, size, gone, spans = [], [], [], []
-            for d, lists in enumerate(batch.column(gone_id).to_pylist()):
-                own = data[offsets[d] : offsets[d + 1]]
-                mark = np.zeros(len(own) + 1, np.int32)
-                for x in lists or ():
-                    r = np.frombuffer(x, np.int64).reshape(-1, 2)
-                    np.add.at(mark, r[:, 0], 1)
-                    np.add.at(mark, r[:, 1] + LENGTH, -1)
-                bad = np.cumsum(mark)[: len(own)] > 0
-                kept.append(own[~bad].tobytes())
-                size.append(len(own))
-                gone.append(int(bad.sum()))
-                spans.append(int((bad & ~np.concatenate([[False], bad[:-1]])).sum()) if len(own) else 0)
-            cols = [batch.column(c) for c in names] + [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (size, gone, spans)]]
-            yield pa.RecordBatch.from_arrays(cols, [*names, *[f.name for f in extra]])
-
-    both = docs.select(*names).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(ranges.select(F.col("doc_id").alias(key), F.col("gone").alias(gone_id)), key, "left").drop(key)
-    return both.mapInArrow(run, T.StructType([docs.schema[c] for c in names] + extra))
+    row_id, bucket_id = free(names, "_row"), free(names, "_bucket")
+    keyed = numbered(docs.select(*names), row_id)
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, shards = max(1, parts(docs.sparkSession), total // BUCKET), max(1, 4 * parts(docs.sparkSession), total // SHARD)
+    own = keyed.select(F.col(row_id).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", bucket_of(F.col(row_id), buckets).alias("bucket"))
+    verdicts = cut(judged(snippet_rows(own, recurring(places(own), buckets, shards, split)), buckets))
+    gone = verdicts.where("gone IS NOT NULL").select("bucket", "gone").union(merged(verdicts, buckets))
+    schema = T.StructType([keyed.schema[c] for c in names] + [T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
+
+    def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
+        data, offsets = text_buffers(texts.column("text").combine_chunks())
+        rows = texts.column(row_id).to_numpy()
+        r = _unpack(gone.column("gone"), np.int64, 3)
+        by_row, mark = np.argsort(rows), np.zeros(len(data) + 1, np.int32)
+        if len(r):
+            base = offsets[by_row[np.searchsorted(rows, r[:, 0], sorter=by_row)]]
+            np.add.at(mark, base + r[:, 1], 1)
+            np.add.at(mark, base + r[:, 2] + LENGTH, -1)
+        bad = np.cumsum(mark)[:-1] > 0
+        first = bad & ~np.concatenate([[False], bad[:-1]])[: len(bad)]
+        at = offsets[:-1][offsets[:-1] < offsets[1:]]
+        first[at] = bad[at]  # spans end with their text
+        count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+        n_gone, size = count(bad), np.diff(offsets)
+        kept = _blobs(data[~bad], np.concatenate([[0], np.cumsum(size - n_gone)]))
+        return pa.table([texts.column(c) for c in names] + [kept, pa.array(size), pa.array(n_gone), pa.array(count(first))], [*names, *[f.name for f in schema.fields[len(names) :]]])
+
+    texts = keyed.withColumn(bucket_id, bucket_of(F.col(row_id), buckets))
+    return texts.groupBy(bucket_id).cogroup(gone.groupBy("bucket")).applyInArrow(finish, schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

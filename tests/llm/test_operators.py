@@ -214,15 +214,41 @@ def brute_bytes(docs, n=100):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shipped,variants", [(4_000_000, 30_000), (0, 2)])
-def test_suffix_dedup(small, odd, none, monkeypatch, shipped, variants):
-    monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
-    for docs in (small, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
-        out = suffix_dedup.removed(docs, shipped).withColumn("sha", F.sha2("kept", 256))
+@pytest.mark.parametrize("split", [suffix_dedup.SPLIT, 2])
+def test_suffix_dedup(small, odd, none, split):
+    for docs in (small, odd):
+        out = suffix_dedup.removed(docs, split).withColumn("sha", F.sha2("kept", 256))
         assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == brute_bytes(pairs_of(docs))
+        assert set(docs.columns) < set(out.columns)
     assert suffix_dedup.dedup(odd).count() == odd.count() and suffix_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("split", [suffix_dedup.SPLIT, 3])
+def test_suffix_dedup_of_repeated_ids(spark, split):
+    """Rows of one doc_id are judged alone; a common passage among different neighbours is split over shards and merged."""
+    rnd = random.Random(6)
+    line = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, x = line(232), line(119)
+    data = [(1, p), (5, p + x), (5, line(351)), (None, x * 2), (None, x * 2), (6, x * 3)] + [(rnd.randint(10, 30), line(rnd.randint(0, 150)) + p[: rnd.randint(90, 232)] + line(rnd.randint(0, 150))) for _ in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = suffix_dedup.removed(df, split).withColumn("sha", F.sha2("kept", 256))
+    got = rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
+    assert got == brute_bytes(pairs_of(df)) and (5, 351, 0, 0, sha(data[2][1])) in got
+
+
+def test_merge_of_sorted_runs():
+    rnd = random.Random(3)
+    lists = [sorted({bytes(rnd.choice(b"ab") for _ in range(6)) for _ in range(rnd.randint(1, 30))}) for _ in range(7)]
+    want: dict = {}
+    runs = []
+    for i, own in enumerate(lists):
+        for s in own:
+            want[s] = min(want.get(s, 99), i)
+        runs.append((np.array(own, "S6"), np.full(len(own), i)))
+    s, least = suffix_dedup.merge_runs(runs)
+    assert dict(zip(s.tolist(), least.tolist())) == want and s.tolist() == sorted(want)
+
+
 def test_suffix_array():
     rnd = random.Random(2)
     for _ in range(20):
