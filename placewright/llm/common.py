@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +126,34 @@ def smallest_hashed(df: DataFrame, group: str, k: int, seed: int, groups: int =
         if len(out[r[0]]) < k:
             out[r[0]].append(r["doc_id"])
     return out
+
+
+def blocks(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """block, size (bytes of its texts), body (some ``most`` bytes of whole rows as a compressed Arrow stream), written."""
+
+    def body(held: list) -> tuple[int, bytes]:
+        table = pa.Table.from_batches(held)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.combine_chunks())
+        return sink.getvalue().to_pybytes()
+
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 20, [], 0
+        for batch in batches:
+            _, offsets = text_buffers(batch.column(text))
+            for i, j in chunks(offsets, most):
+                if held and size + offsets[j] - offsets[i] > most:
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([body(held)], pa.binary())], ["block", "size", "body"])
+                    number, held, size = number + 1, [], 0
+                held.append(batch.slice(i, j - i))
+                size += int(offsets[j] - offsets[i])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([body(held)], pa.binary())], ["block", "size", "body"])
+
+    return cut(docs.mapInArrow(run, "block long, size long, body binary"))
+
+
+def unpacked(body) -> pa.Table:
+    """Rows of a block."""
+    return pa.ipc.open_stream(body.as_buffer()).read_all()

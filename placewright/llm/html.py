@@ -1,19 +1,27 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed to a tree. Every element subtree is hashed bottom-up from its tag, attributes, text and children. Spark
-counts, for each host, on how many pages each hash of a container occurs, and on how many pages the host has. A container
-that recurs on at least ``LEAST_PAGES`` pages and on ``SHARE`` of the host's pages is part of the site's template and is
-deleted wherever it occurs. Containers are all elements, but inside an article only those without paragraphs, headings, quotes,
-code or any text outside of links, so a repeated article keeps its words, lists and tables too. A host has at most
-``subtrees a page / SHARE`` templates, so its list is bounded however many pages it has.
-
-What a template cannot show, because a host has few pages or its menus differ by page, is judged by markup: elements that never
-hold an article's text, and class, id or role names of menus, notices, adverts, comments and the like. If articles or a main
-element remain, the text is theirs; else it is all that is left. Character references are decoded, white space in a block
-becomes one space, and non-empty blocks are joined in page order by an empty line.
-
-Null, empty or text-less html gives an empty text. Repeated rows count as pages each. A null or hostless url is a host of its own
-name ''. Other columns pass through.
+A page is parsed to a tree. Every element subtree is hashed bottom-up from its tag, attributes, text and children, and has a place:
+the tags and classes from the root down to it. Spark counts, for each host, on how many pages each subtree occurs at its place, and
+for each place how many pages have one there that recurs. What is template goes wherever it occurs:
+
+* Around the main part, a subtree that recurs on ``LEAST_PAGES`` pages; and all subtrees of a place that ``MANY`` pages or more have
+  and where at least ``SHARE`` of them recur: a menu or notice slot, whatever stands in it today.
+* In an ``article`` or ``main`` element, a recurring subtree without paragraphs, headings, quotes, code or text outside of links, so a
+  repeated article keeps its words, lists and tables.
+* In a page without these, the main part is the smallest element that holds half the page's text; of it, what is in it and what holds it
+  only subtrees on half of the host's pages go, copies of a page counted once.
+
+Two things counts cannot show. Elements and roles that HTML itself sets apart from the content (``ASIDE``) and reader comments, which
+differ by page, always go. At places that fewer than ``MANY`` pages of a host have, class and id names of menus, notices, adverts and
+the like (``UNWANTED``) stand in for counts; on larger hosts names decide nothing there. Inside an article only names of adverts,
+sharing and sign-up boxes count.
+
+If articles or a main element remain, the text is theirs; else it is all that is left. Character references are decoded, white space
+in a block becomes one space, and non-empty blocks are joined in page order by an empty line.
+
+Pages are written once in packed blocks; verdicts meet them by block, so no host's list is held anywhere, and a host's counts are
+partial sums by subtree. Null, empty or text-less html gives an empty text. Repeated rows count as pages each. A null or hostless url
+is a host of its own name ''. Other columns pass through. Parsing takes time in proportion to the html.
 """
 
 from __future__ import annotations
@@ -28,90 +36,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import cut, free
+from placewright.llm.common import blocks, cut, unpacked
 
-LEAST_PAGES = 5
-SHARE = 0.2
+LEAST_PAGES, MANY, SHARE, MAIN_SHARE = 5, 20, 0.1, 0.5
+BLOCK = 4 << 20
 # HTML elements by their role.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas menu dialog title xmp noembed noframes audio video map".split())
+TEXTLESS = frozenset("head script style noscript template button select textarea iframe object svg canvas title xmp noembed noframes audio video map".split())
+ASIDE = frozenset("nav footer aside form menu dialog".split())
+NEVER = TEXTLESS | ASIDE
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption address".split()) | INLINE
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|footer|foot|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|reply|disqus|respond|pagination|pager|search|widget|skip|copyright|legal)(?:$|[\s_-])",
-    re.I,
-)
-PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|masthead|topbar)(?:$|[\s_-])", re.I)
+_names = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+COMMENTS = _names(r"comments?|comment-?list|replies|reply|disqus|respond")
+IN_ARTICLE = _names(r"ads?|advert\w*|adsense|sponsor\w*|share|sharing|newsletter|subscri\w*|signup")
+UNWANTED = _names(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|footer|foot|toolbar|share|sharing|social|related|recommend\w*|pagination|pager|search|widget|skip|copyright|legal|header|head|masthead|topbar")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[\s ]+")
+_SPACE = re.compile(r"[\s\u00a0]+")
+#: Zones of a page: around its main part, in the part that holds most of its text, in an article or main element.
+AROUND, BULK, ARTICLE = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "mark", "in_article", "prose", "words")
+    __slots__ = ("tag", "attrs", "kids", "mark", "in_article", "prose", "words", "size", "place", "zone", "named")
 
     def __init__(self, tag: str, attrs: str, in_article: bool):
-        self.tag, self.attrs, self.kids, self.mark, self.in_article, self.prose, self.words = tag, attrs, [], 0, in_article, False, False
+        self.tag, self.attrs, self.kids, self.mark, self.in_article, self.prose, self.words, self.size, self.place, self.zone = tag, attrs, [], 0, in_article, False, False, 0, 0, AROUND
+        self.named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
 
-    def named(self) -> dict[str, str]:
-        return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(self.attrs)}
+
+class Reader:
+    """Tags of a source from left to right; no character is looked at more than a few times."""
+
+    def __init__(self, source: str):
+        self.source, self.gone = source, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Like ``str.find``, but what isn't found once is never sought again."""
+        if what in self.gone:
+            return -1
+        k = self.source.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, which quotes may hide; -1 without one."""
+        k = at
+        while m := _STOP.search(self.source, k) if ">" not in self.gone else None:
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end())
+            k = close + 1 if close >= 0 else m.end()
+        self.gone.add(">")
+        return -1
 
 
 def parse(source: str) -> Node:
     """A tree of nodes and strings; forgiving about unclosed and stray tags."""
-    root = Node("#root", "", False)
-    stack, at, n = [root], 0, len(source)
+    root, reader, at, n = Node("#root", "", False), Reader(source), 0, len(source)
+    stack, open_ = [root], {}  # open_: places in the stack of each tag
+
+    def push(node: Node) -> None:
+        open_.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
     def pop_to(i: int) -> None:
-        del stack[i:]
+        while len(stack) > i:
+            open_[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
+    blocks_open = [0]  # places of elements that are not inline, for the p that a block element ends
 
     while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
+        k = reader.find("<", at)
+        if k < 0:
             stack[-1].kids.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if k > at:
+            stack[-1].kids.append(source[at:k])
+        if source.startswith("<!--", k):
+            end = reader.find("-->", k + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
+        if source[k + 1 : k + 2] in ("!", "?"):
+            end = reader.find(">", k + 2)
+            at = end + 1 if end >= 0 else n
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        closing = source.startswith("/", k + 1)
+        m = _NAME.match(source, k + 1 + closing)
+        end = reader.end_of_tag(m.end()) if m else -1
+        if end < 0:  # no tag: a character of the text
+            stack[-1].kids.append("<")
+            at = k + 1
+            continue
+        tag, at = m[0].lower(), end + 1
+        if closing:
+            if open_.get(tag):
+                pop_to(open_[tag][-1])
+            continue
+        if tag in CLOSES_P and open_.get("p"):
+            while blocks_open[-1] >= len(stack):
+                blocks_open.pop()
+            if open_["p"][-1] >= blocks_open[-1]:  # nothing but inline elements since
+                pop_to(open_["p"][-1])
         if tag in CLOSES:
             same, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in same.split():
-                    pop_to(i)
-                    break
-        node = Node(tag, m[3], stack[-1].in_article or tag in ("article", "main"))
+            i = last(same.split())
+            if i > last(stop):
+                pop_to(i)
+        attrs = source[m.end() : end]
+        node = Node(tag, attrs, stack[-1].in_article or tag in ("article", "main"))
         stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(source, at)
-            node.kids.append(source[at : end.start() if end else n])
-            at = end.end() if end else n
+            close = re.compile(f"</{tag}\\s*>", re.I).search(source, at) if tag not in reader.gone else None
+            if not close:
+                reader.gone.add(tag)
+            node.kids.append(source[at : close.start() if close else n])
+            at = close.end() if close else n
             continue
-        stack.append(node)
+        if tag not in INLINE:
+            while blocks_open[-1] >= len(stack):
+                blocks_open.pop()
+            blocks_open.append(len(stack))
+        push(node)
     return root
 
 
@@ -126,16 +185,41 @@ def walk(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node) -> list[Node]:
-    """Sets ``mark`` of every node from its whole subtree; gives the containers."""
+    """Sets ``mark``, ``size``, ``place`` and ``zone`` of every node; gives the subtrees that may be template."""
     nodes = walk(root)
     for node in reversed(nodes):
         h = xxhash.xxh3_64(f"<{node.tag} {node.attrs.strip()}>")
         node.prose = node.tag in PROSE or any(k.prose for k in node.kids if isinstance(k, Node))
         node.words = node.in_article and node.tag != "a" and node.tag not in NEVER and any(k.words if isinstance(k, Node) else worded(k) for k in node.kids)
         for k in node.kids:
-            h.update(k.mark.to_bytes(8, "little") if isinstance(k, Node) else _SPACE.sub(" ", k).strip().encode("utf-8", "surrogatepass"))
+            if isinstance(k, Node):
+                h.update(k.mark.to_bytes(8, "little"))
+                node.size += k.size
+            else:
+                text = _SPACE.sub(" ", k).strip()
+                h.update(text.encode("utf-8", "surrogatepass"))
+                node.size += len(text) if node.tag not in TEXTLESS else 0
         node.mark = h.intdigest()
-    return [x for x in nodes if x.kids and removable(x)]
+    has = any(x.tag in ("article", "main") for x in nodes)
+    bulk, half = root, MAIN_SHARE * root.size
+    while not has and (inner := next((k for k in bulk.kids if isinstance(k, Node) and k.size >= half and k.size), None)):
+        bulk = inner
+    around: set[int] = set()  # elements that hold the main part
+    for node in nodes:
+        for k in node.kids:
+            if isinstance(k, Node):
+                k.place = xxhash.xxh3_64_intdigest(f"{node.place} {k.tag} {k.named.get('class', '')}")
+                k.zone = ARTICLE if k.in_article else BULK if not has and (node.zone == BULK or node is bulk and bulk is not root) else AROUND
+    if has:
+        for node in reversed(nodes):
+            if node.tag in ("article", "main") or any(id(k) in around for k in node.kids if isinstance(k, Node)):
+                around.add(id(node))
+    else:
+        node = root
+        while node is not bulk:
+            node = next(k for k in node.kids if isinstance(k, Node) and k.size >= half)
+            node.zone = BULK
+    return [x for x in nodes if x.kids and x.size and id(x) not in around and (x.zone != BULK or x.size < root.size) and removable(x)]
 
 
 def worded(text: str) -> bool:
@@ -147,44 +231,51 @@ def removable(x: Node) -> bool:
     return x.tag not in ("#root", "html", "body", "head", "article", "main") and not (x.in_article and (x.prose or x.words or x.tag in TEXTUAL))
 
 
-def unwanted(node: Node) -> bool:
+def key_of(x: Node) -> int:
+    """A subtree at its place, as a signed number."""
+    h = xxhash.xxh3_64_intdigest(f"{x.place} {x.mark}")
+    return h - (1 << 64) if h >> 63 else h
+
+
+def place_of(x: Node) -> int:
+    return x.place - (1 << 64) if x.place >> 63 else x.place
+
+
+def unwanted(node: Node, counted: bool) -> bool:
+    """By markup. ``counted``: enough pages of the host have this place for counts to judge it."""
     if node.tag in NEVER or node.tag == "header" and not node.in_article:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    a = node.named
+    if not a or node.tag in ("html", "body", "article", "main"):
         return False
-    a = node.named()
-    return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or any(UNWANTED.search(a[k]) or not node.in_article and PAGE_HEAD.search(a[k]) for k in ("class", "id") if k in a)
+    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
+        return True
+    names = [a[k] for k in ("class", "id") if k in a]
+    by = [COMMENTS] + [IN_ARTICLE] * node.in_article + [UNWANTED] * (not node.in_article and not counted)
+    return any(p.search(x) for p in by for x in names)
 
 
-def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
+def main_text(source: str | None, template: frozenset[int] = frozenset(), counted: frozenset[int] = frozenset()) -> str:
+    """Text of a page, of whose subtrees those of the keys ``template`` go; ``counted`` are places that counts can judge."""
     root = parse(source or "")
-    if template:
-        hash_subtrees(root)
+    may_go = {id(x) for x in hash_subtrees(root)} if template or counted else set()
     gone: set[int] = set()
-    kept, todo = [], [root]
+    tops, mains, todo = [], [], [(root, False, False)]
     while todo:
-        node = todo.pop()
-        if node is not root and (node.mark in template and removable(node) or unwanted(node)):
+        node, in_article, in_main = todo.pop()
+        if node is not root and (id(node) in may_go and key_of(node) in template or unwanted(node, place_of(node) in counted)):
             gone.add(id(node))
             continue
-        kept.append(node)
-        todo += [k for k in node.kids if isinstance(k, Node)]
-    tops = [x for x in kept if x.tag == "article"] or [x for x in kept if x.tag == "main"]
-    inner = {id(y) for x in tops for y in walk(x) if y is not x}
-    tops = [x for x in tops if id(x) not in inner] or [root]
-    order = {id(x): i for i, x in enumerate(walk_in_order(root))}
-    blocks: list[str] = []
-    for top in sorted(tops, key=lambda x: order[id(x)]):
-        blocks += _blocks(top, gone)
-    return "\n\n".join(blocks)
-
-
-def walk_in_order(root: Node):
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+        if node.tag == "article" and not in_article:
+            tops.append(node)
+        if node.tag == "main" and not in_main:
+            mains.append(node)
+        state = in_article or node.tag == "article", in_main or node.tag == "main"
+        todo += [(k, *state) for k in reversed(node.kids) if isinstance(k, Node)]
+    blocks_: list[str] = []
+    for top in tops or mains or [root]:
+        blocks_ += _blocks(top, gone)
+    return "\n\n".join(blocks_)
 
 
 def _blocks(top: Node, gone: set[int]) -> list[str]:
@@ -222,42 +313,57 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, marks: the hashes of each host's template subtrees."""
-
-    def marks(batches):
-        for batch in batches:
-            hosts, found = [], []
-            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                own = {0} | {x.mark for x in hash_subtrees(parse(source or ""))}
-                hosts += [host_of(url)] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())], ["host", "mark"])
-
-    counts = pages.select("url", "html").mapInArrow(marks, "host string, mark long").groupBy("host", "mark").agg(F.count("*").alias("n"))
-    counts = counts.where((F.col("n") >= LEAST_PAGES) | (F.col("mark") == 0))
-    return counts.groupBy("host").agg(F.max(F.when(F.col("mark") == 0, F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("mark") != 0, F.struct("mark", "n"))).alias("m")).select("host", F.transform(F.filter("m", lambda x: x["n"] >= F.greatest(F.lit(LEAST_PAGES), SHARE * F.col("pages"))), lambda x: x["mark"]).alias("marks")).where(F.size("marks") > 0)
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` (with url and html) and ``text``, ``n_chars``; html itself is kept."""
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-
-    host_id, marks_id = free(names, "_host"), free(names, "_marks")
-
-    @F.pandas_udf("string")
-    def host(url):
-        return url.map(host_of)
+def candidates(packed: DataFrame) -> DataFrame:
+    """block, page (row in its block), whole (mark of the page), host, place, zone, key of every subtree that may be template; and of every page a row of zone -1."""
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, frozenset(x & (1 << 64) - 1 for x in m or ())) for h, m in zip(batch.column("html").to_pylist(), batch.column(marks_id).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
-
-    keyed = pages.select(*names).withColumn(host_id, host("url"))
-    both = keyed.join(cut(templates(pages)).select(F.col("host").alias(host_id), F.col("marks").alias(marks_id)), host_id, "left").drop(host_id)
-    return both.mapInArrow(run, T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                t = unpacked(body)
+                out: list[tuple] = []
+                for page, (url, source) in enumerate(zip(t.column("url").to_pylist(), t.column("html").to_pylist())):
+                    host, root = host_of(url), parse(source or "")
+                    own = hash_subtrees(root)
+                    whole = key_of(root)
+                    out += [(block, page, whole, host, 0, -1, 0), *{(block, page, whole, host, place_of(x), x.zone, key_of(x)) for x in own}]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "page", "whole", "host", "place", "zone", "key"])
+
+    return packed.select("block", "body").mapInArrow(run, "block long, page int, whole long, host string, place long, zone int, key long")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """host, place, zone, key, gone (template or not) of subtrees that are template or at places that counts can judge."""
+    copies = found.groupBy("host", "place", "zone", "key", "whole").agg(F.count("*").alias("n"))
+    each = copies.groupBy("host", "place", "zone", "key").agg(F.sum("n").alias("n"), F.count("*").alias("unlike"))
+    sizes = each.where("zone < 0").select("host", F.col("unlike").alias("pages"))
+    places = each.where("zone >= 0").groupBy("host", "place", "zone").agg(F.sum("n").alias("had"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
+    rows = each.where("zone >= 0").join(places, ["host", "place", "zone"]).join(sizes, "host")
+    often, slot = F.col("n") >= LEAST_PAGES, (F.col("zone") == AROUND) & (F.col("had") >= MANY)
+    gone = F.when(F.col("zone") == BULK, (F.col("unlike") >= LEAST_PAGES) & (F.col("unlike") >= MAIN_SHARE * F.col("pages"))).otherwise(often | slot & (F.col("again") >= SHARE * F.col("had")))
+    return rows.select("host", "place", "zone", "key", gone.alias("gone"), slot.alias("slot")).where("gone OR slot")
+
+
+def extract(pages: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``pages`` (with url and html) and ``text``, ``n_chars``, ``n_template`` (subtrees of templates found); html itself is kept."""
+    names = [c for c in pages.columns if c not in ("text", "n_chars", "n_template")]
+    packed = blocks(pages.select(*names), "html", most)
+    found = cut(candidates(packed))
+    judged = found.where("zone >= 0").join(cut(templates(found)), ["host", "place", "zone", "key"]).select("block", "page", "place", "key", "gone", "slot")
+    schema = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
+
+    def run(rows: pa.Table, judged: pa.Table) -> pa.Table:
+        t, gone, counted = unpacked(rows.column("body")[0]), {}, {}
+        for page, place, key, out, slot in zip(*(judged.column(c).to_pylist() for c in ("page", "place", "key", "gone", "slot"))):
+            if out:
+                gone.setdefault(page, set()).add(key)
+            if slot:
+                counted.setdefault(page, set()).add(place)
+        texts = [main_text(h, frozenset(gone.get(i, ())), frozenset(counted.get(i, ()))) for i, h in enumerate(t.column("html").to_pylist())]
+        return pa.table([t.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(gone.get(i, ())) for i in range(len(texts))], pa.int64())], [*names, "text", "n_chars", "n_template"])
+
+    return packed.select("block", "body").groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(run, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "n_template")

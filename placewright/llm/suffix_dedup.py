@@ -3,20 +3,21 @@
 Every byte covered by a ``LENGTH``-byte string that also starts earlier (in a smaller doc_id, or in the same text before) goes.
 
 1. Discarding by hash. A string's anchor is its ``GRAM``-byte substring of least hash, so equal strings have equal anchors in the same
-   place. Consecutive strings with one anchor form a snippet of some 135 bytes. Places of snippets are sorted by the anchor's hash; an
+   place. Consecutive strings with one anchor form a snippet of some 135 bytes. Snippets are counted by the anchor's hash; an
    anchor found once proves its strings unique, and they go no further. Nothing is removed on a hash.
 2. Shards. The bytes of all other snippets are dealt to shards by anchor, so equal strings meet in one shard. An anchor with more than
-   ``SPLIT`` places is dealt to several, a text's places never apart. A shard builds the suffix array of its different snippets by
+   ``SPLIT`` snippets is dealt to several, a text's snippets never apart. A shard builds the suffix array of its different snippets by
    Larsson-Sadakane refinement (ranks of 8 bytes, doubled while groups are unsorted) and Kasai's common prefixes (in step over all
    snippets). Runs of common prefixes of ``LENGTH`` or more are equal strings; all their places but the earliest go.
 3. Merging. Strings of split anchors may recur in other shards. Each shard gives them in the order of its suffix array with their
    least doc_id; ranges of that order are merged from all shards by binary search, and a shard whose least doc_id isn't the least of all
    removes its first places too.
 
-Texts go to shards and back in buckets of rows of some ``BUCKET`` bytes; nothing of the corpus is shipped to all tasks or to the
-driver but counts, and there is one way for every size. The sort by anchors reads an anchor's places as a stream.
+Rows are first written in blocks of some ``BLOCK`` bytes, packed, and a place is a block and a position in its texts. Blocks meet
+their snippets and their verdicts by cogroups; nothing of the corpus is shipped to all tasks or to the driver but counts, and there is
+one way for every size.
 
-Every row is a text of its own, numbered when first written. Null and empty texts have no bytes. Of rows of one doc_id (or of null
+Every row is a text of its own. Null and empty texts have no bytes. Of rows of one doc_id (or of null
 ids, which count as the smallest) neither is earlier than the other; each is judged against smaller ids and its own text. ``dedup``
 decodes what is left, replacing cut code points, and passes other columns.
 """
@@ -25,11 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import cut, free, numbered, parts, text_buffers
+from placewright.llm.common import blocks, chunks, cut, parts, text_buffers, unpacked
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import inverses, powers
 
@@ -37,7 +40,7 @@ LENGTH = 100
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 18
-BUCKET = 8 << 20
+BLOCK = 4 << 20
 SHARD = 1 << 20
 SPLIT = 4000
 NO_ID = -(1 << 63)
@@ -84,14 +87,6 @@ def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def groups_of(offsets: np.ndarray, most: int = SEGMENT):
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
-        yield i, j
-        i = j
-
-
 def _blobs(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
     """Binary values: the rows of ``flat`` between edges, without copying."""
     flat = np.ascontiguousarray(flat)
@@ -112,116 +107,73 @@ def _edges(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new) if len(sorted_) else np.zeros(1, np.int64)
 
 
-def bucket_of(row, buckets: int):
-    """Of a column or an array of row numbers (partition above 33 bits, place below)."""
-    if isinstance(row, Column):
-        return F.pmod(row + F.shiftright(row, 33), F.lit(buckets))
-    return (row + (row >> 33)) % buckets
+def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return text_buffers(table.column("text").combine_chunks())
 
 
-def places(keyed: DataFrame) -> DataFrame:
-    """h (hash of an anchor), at: its snippets in some texts, as pairs of int64 (row, first start << 7 | number of starts - 1)."""
+def places(packed: DataFrame) -> DataFrame:
+    """h (hash of the anchor), block, spot (first start in the block's texts << 7 | number of starts - 1) of every snippet."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            rows = batch.column("row").to_numpy()
-            for i, j in groups_of(offsets):
-                base = offsets[i : j + 1] - offsets[i]
-                h, i0, i1 = snippets(data[offsets[i] : offsets[j]], base)
-                own = np.searchsorted(base, i0, "right") - 1
-                order = np.argsort(h, kind="stable")
-                pairs = np.stack([rows[i + own], (i0 - base[own]) << 7 | (i1 - i0)], 1)[order] if len(h) else np.zeros((0, 2), np.int64)
-                edges = _edges(h[order])
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][edges[:-1]].view(np.int64)), _blobs(pairs, edges)], ["h", "at"])
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                data, offsets = texts_of(unpacked(body))
+                for i, j in chunks(offsets, SEGMENT):
+                    h, i0, i1 = snippets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block)), pa.array((i0 + offsets[i]) << 7 | (i1 - i0))], ["h", "block", "spot"])
 
-    return keyed.select("row", "text").mapInArrow(run, "h long, at binary")
+    return packed.select("block", "body").mapInArrow(run, "h long, block long, spot long")
 
 
-def recurring(found: DataFrame, buckets: int, shards: int, split: int) -> DataFrame:
-    """bucket, at: int64 rows (row, start << 7 | number - 1, shard << 1 | whether its anchor is split) of snippets whose anchor recurs."""
+def recurring(found: DataFrame, shards: int, split: int) -> DataFrame:
+    """block, spot, shard, open (whether the anchor is split) of snippets whose anchor recurs."""
+    own = W.partitionBy("h")
+    found = found.select("*", F.rank().over(own.orderBy("block")).alias("n"), F.count("*").over(own).alias("k")).where("k > 1")
+    sub = F.when(F.col("k") > split, F.floor((F.col("n") - 1) / split)).otherwise(0)  # places of a block have one rank
+    return found.select("block", "spot", F.pmod(F.xxhash64("h", sub), F.lit(shards)).alias("shard"), (F.col("k") > split).cast("long").alias("open"))
 
-    def run(batches):
-        h, n, pairs, hot, sub = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None, 0
-        for batch in batches:
-            h = np.concatenate([h, batch.column("h").to_numpy()])
-            n = np.concatenate([n, np.diff(text_buffers(batch.column("at"))[1]) // 16])
-            pairs = np.concatenate([pairs, _unpack(batch.column("at"), np.int64, 2)])
-            if not len(h):
-                continue
-            last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-            ready = int(n[:last].sum())
-            out = [take(h[:last], n[:last], pairs[:ready], hot, sub)]
-            if last and hot is not None and h[0] == hot:
-                hot = None
-            h, n, pairs = h[last:], n[last:], pairs[ready:]
-            if len(pairs) > split:  # no more than that is held of one anchor
-                sub = sub + 1 if hot == h[0] else 0
-                hot = h[0]
-                out.append(pack(pairs, np.full(len(pairs), shard_of(hot, sub) << 1 | 1)))
-                h, n, pairs = h[:0], n[:0], pairs[:0]
-            yield from (x for x in out if x.num_rows)
-        yield take(h, n, pairs, hot, sub)
-
-    def shard_of(h, sub):
-        return (mix(np.asarray(h, np.int64).view(np.uint64) ^ mix(np.asarray(sub, np.uint64), 3), 41) % np.uint64(shards)).astype(np.int64)
-
-    def take(h, n, pairs, hot, sub):
-        edges = _edges(h)
-        if len(edges) < 2:
-            return pack(pairs[:0], pairs[:0, 0])
-        total = np.add.reduceat(n, edges[:-1])
-        k = np.diff(edges)
-        many, number = total > split, np.zeros(len(h), np.int64)
-        if many.any():  # by runs of whole pieces
-            before = np.cumsum(n) - n
-            number = np.where(np.repeat(many, k), (before - np.repeat(before[edges[:-1]], k)) // split, 0)
-        if hot is not None and h[0] == hot:
-            many[0] = True
-            number[: k[0]] += sub + 1
-        keep, many = np.repeat((total > 1) | many, k), np.repeat(many, k)
-        shard = shard_of(h, number) << 1 | many
-        return pack(pairs[np.repeat(keep, n)], np.repeat(shard[keep], n[keep]))
-
-    def pack(pairs, shard):
-        b = bucket_of(pairs[:, 0], buckets)
-        order = np.argsort(b, kind="stable")
-        edges = _edges(b[order])
-        flat = np.column_stack([pairs, shard])[order].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(b[order][edges[:-1]].astype(np.int64)), _blobs(flat, edges)], ["bucket", "at"])
-
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "bucket long, at binary")
-
-
-_SNIPPETS = "shard long, size binary, doc binary, row binary, start binary, open binary, data binary"
-
-
-def snippet_rows(keyed: DataFrame, at: DataFrame) -> DataFrame:
-    """One row a bucket and shard: the bytes of its snippets with lengths, doc_ids, rows and starts."""
+
+_FIELDS = (("size", np.int32), ("doc", np.int64), ("row", np.int32), ("spot", np.int64), ("open", np.int8))
+
+
+def snippet_rows(packed: DataFrame, at: DataFrame) -> DataFrame:
+    """shard, block, n, body: of each shard's snippets in a block sizes, doc_ids, rows, spots, whether open, and bytes, compressed."""
 
     def run(texts: pa.Table, at: pa.Table) -> pa.Table:
-        found = _unpack(at.column("at"), np.int64, 3)
-        names = ["shard", "size", "doc", "row", "start", "open", "data"]
-        if not len(found) or not texts.num_rows:
-            return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 6], names)
-        rows = texts.column("row").to_numpy()
-        docs = texts.column("doc_id").fill_null(NO_ID).to_numpy()
-        data, offsets = text_buffers(texts.column("text").combine_chunks())
-        by_row = np.argsort(rows)
-        found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 2] >> 1))]
-        own = by_row[np.searchsorted(rows, found[:, 0], sorter=by_row)]
-        start, size = found[:, 1] >> 7, (found[:, 1] & 127) + LENGTH
-        edges = _edges(found[:, 2] >> 1)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out, raw, first = np.empty(ends[-1], np.uint8), memoryview(data), offsets[own] + start
-        for k in range(0, len(size), 8192):  # gathered in blocks, so that indices stay small
-            m = slice(k, k + 8192)
-            out[ends[k] : ends[min(k + 8192, len(size))]] = data[np.repeat(first[m] - (ends[:-1][m] - ends[k]), size[m]) + np.arange(size[m].sum())]
-        del raw
-        cols = [_blobs(x, edges) for x in (size.astype(np.int32), docs[own], found[:, 0], start, (found[:, 2] & 1).astype(np.int8))]
-        return pa.table([pa.array(found[edges[:-1], 2] >> 1), *cols, _blobs(out, ends[edges])], names)
-
-    return keyed.select("row", "doc_id", "text", "bucket").groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(run, _SNIPPETS)
+        spot, shard, open_ = (at.column(c).to_numpy() for c in ("spot", "shard", "open"))
+        out: list[tuple] = []
+        if len(spot):
+            table = unpacked(texts.column("body")[0])
+            data, offsets = texts_of(table)
+            docs, pack = table.column("doc_id").fill_null(NO_ID).to_numpy(), zstandard.ZstdCompressor(level=1)
+            order = np.lexsort((spot, shard))
+            spot, shard, open_ = spot[order], shard[order], open_[order]
+            start = spot >> 7
+            size, row = (spot & 127) + LENGTH, np.searchsorted(offsets, start, "right") - 1
+            edges = _edges(shard)
+            for a, b in zip(edges, edges[1:]):
+                n, m = size[a:b], slice(a, b)
+                raw = data[np.repeat(start[m] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                fields = zip(_FIELDS, (n, docs[row[m]], row[m], spot[m], open_[m]))
+                out.append((int(shard[a]), int(texts.column("block")[0].as_py()), int(b - a), pack.compress(b"".join([x.astype(k).tobytes() for (_, k), x in fields] + [raw.tobytes()]))))
+        cols = [*zip(*out)] or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "n", "body"])
+
+    return packed.select("block", "body").groupBy("block").cogroup(at.groupBy("block")).applyInArrow(run, "shard long, block long, n long, body binary")
+
+
+def read_snippets(t: pa.Table) -> tuple[dict, np.ndarray, list[bytes]]:
+    """Columns of all snippets of a shard, their blocks, and their bytes."""
+    unpack, cols, blobs = zstandard.ZstdDecompressor(), {c: [] for c, _ in _FIELDS}, []
+    for n, body in zip(t.column("n").to_pylist(), t.column("body").to_pylist()):
+        raw, at = unpack.decompress(body), 0
+        for c, k in _FIELDS:
+            cols[c].append(np.frombuffer(raw, k, n, at))
+            at += n * np.dtype(k).itemsize
+        for size in cols["size"][-1].tolist():
+            blobs.append(raw[at : at + size])
+            at += size
+    return {c: np.concatenate(v) for c, v in cols.items()}, np.repeat(t.column("block").to_numpy(), t.column("n").to_numpy()), blobs
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -284,21 +236,16 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, orde
     return out
 
 
-def ranges(row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows (row, first, last) of runs of starts."""
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    if not len(row):
-        return np.zeros((0, 3), np.int64)
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(start) > 1)])
-    return np.stack([row[new], start[new], start[np.concatenate([new[1:], [True]])]], 1)
-
-
-def range_rows(r: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
-    b = bucket_of(r[:, 0], buckets)
-    order = np.argsort(b, kind="stable")
-    edges = _edges(b[order])
-    return pa.array(b[order][edges[:-1]].astype(np.int64)), _blobs(r[order], edges)
+def runs_of(block: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """block and spot of runs of starts, each of at most 128."""
+    order = np.lexsort((at, block))
+    block, at = block[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (block[1:] != block[:-1]) | (np.diff(at) > 1)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else at
+    new |= (np.arange(len(at)) - first) % 128 == 0
+    edges = np.append(np.flatnonzero(new), len(at))
+    return pa.array(block[new]), pa.array(at[new] << 7 | (np.diff(edges) - 1))
 
 
 def equal_strings(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,17 +260,17 @@ def equal_strings(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return data, starts, lens, run
 
 
-_JUDGED = "bucket long, gone binary, shard long, strings binary, least binary, run binary, row binary, start binary"
+_JUDGED = "block long, spot long, shard long, strings binary, least binary, run binary, blocks binary, starts binary"
 
 
-def judged(rows: DataFrame, buckets: int) -> DataFrame:
-    """Ranges of starts that go (bucket, gone); of split anchors a row a shard with strings in order, their least doc_id, and the places that have it."""
+def judged(rows: DataFrame) -> DataFrame:
+    """block, spot of starts that go; of split anchors a row a shard with strings in order, their least doc_id, and the places that have it."""
 
     def run(t: pa.Table) -> pa.Table:
-        size, doc, row, start, open_ = (_unpack(t.column(c), k) for c, k in (("size", np.int32), ("doc", np.int64), ("row", np.int64), ("start", np.int64), ("open", np.int8)))
-        raw, ends = _unpack(t.column("data"), np.uint8).tobytes(), np.cumsum(size, dtype=np.int64)
+        cols, block, blobs = read_snippets(t)
+        doc, start = cols["doc"], cols["spot"] >> 7
         different: dict[bytes, int] = {}
-        which = np.array([different.setdefault(raw[b - k : b], len(different)) for b, k in zip(ends.tolist(), size.tolist())], np.int64)
+        which = np.array([different.setdefault(b, len(different)) for b in blobs], np.int64)
         data, starts, lens, runs = equal_strings(list(different))
         n = lens[which] - LENGTH + 1  # strings of each place
         place = np.repeat(np.arange(len(which)), n)
@@ -332,23 +279,25 @@ def judged(rows: DataFrame, buckets: int) -> DataFrame:
         least = np.full(len(data), np.iinfo(np.int64).max)
         np.minimum.at(least, own, doc[place])
         again = doc[place] > least[own]
-        # in the least doc_id's texts an earlier start counts too: only rows with several places here can have one
-        _, back, times = np.unique(row, return_inverse=True, return_counts=True)
-        few = np.flatnonzero(~again & (times[back] > 1)[place])
+        # in the least doc_id's texts an earlier start counts too: only texts with several places here can have one
+        order = np.lexsort((cols["row"], block))
+        same = (block[order][1:] == block[order][:-1]) & (cols["row"][order][1:] == cols["row"][order][:-1])
+        shared, text = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        text[order] = np.cumsum(np.concatenate([[True], ~same]))
+        few = np.flatnonzero(~again & shared[place])
         at = start[place] + inside
-        few = few[np.lexsort((at[few], row[place[few]], own[few]))]
-        again[few[1:]] |= (own[few[1:]] == own[few[:-1]]) & (row[place[few[1:]]] == row[place[few[:-1]]])
-        bucket, gone = range_rows(ranges(row[place[again]], at[again]), buckets)
-        none = lambda k: pa.nulls(len(bucket), k)
-        out = [bucket, gone, none(pa.int64()), *[none(pa.binary())] * 5]
-        rest = np.flatnonzero(~again & (open_ > 0)[place])
+        few = few[np.lexsort((at[few], text[place[few]], own[few]))]
+        again[few[1:]] |= (own[few[1:]] == own[few[:-1]]) & (text[place[few[1:]]] == text[place[few[:-1]]])
+        gone, spot = runs_of(block[place[again]], at[again])
+        out = [gone, spot, pa.nulls(len(gone), pa.int64()), *[pa.nulls(len(gone), pa.binary())] * 5]
+        rest = np.flatnonzero(~again & (cols["open"] > 0)[place])
         if len(rest):
             rest = rest[np.argsort(own[rest], kind="stable")]
             keys, first, number = np.unique(own[rest], return_index=True, return_inverse=True)
             where = starts[which[place[rest[first]]]] + inside[rest[first]]
-            strings = data[where[:, None] + np.arange(LENGTH)]
-            more = [x.tobytes() for x in (strings, least[keys], number.astype(np.int64), row[place[rest]], at[rest])]
-            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([t.column("shard")[0].as_py()]), *[pa.array([x], pa.binary()) for x in more]]
+            more = [x.tobytes() for x in (data[where[:, None] + np.arange(LENGTH)], least[keys], number.astype(np.int64), block[place[rest]], at[rest])]
+            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([t.column("shard")[0].as_py()]), *[pa.array([x], pa.binary()) for x in more]]
             out = [pa.concat_arrays([x, y]) for x, y in zip(out, last)]
         return pa.table(out, [c.split()[0] for c in _JUDGED.split(", ")])
 
@@ -369,8 +318,8 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return runs[0]
 
 
-def merged(judged_: DataFrame, buckets: int) -> DataFrame:
-    """bucket, gone: places of split anchors' strings that other shards have in a smaller doc_id."""
+def merged(judged_: DataFrame) -> DataFrame:
+    """block, spot: places of split anchors' strings that other shards have in a smaller doc_id."""
     held = judged_.where("shard IS NOT NULL")
 
     def strings(batches):
@@ -395,51 +344,46 @@ def merged(judged_: DataFrame, buckets: int) -> DataFrame:
 
     total = held.agg(F.sum(F.length("strings"))).first()[0]
     if not total:
-        return judged_.where("shard IS NOT NULL").select("bucket", "gone")
+        return held.select("block", "spot")
     ranges_ = max(parts(judged_.sparkSession), total // (16 << 20))
     all_strings = held.select("shard", "strings", "least").mapInArrow(strings, "s binary, shard long, run long, least long")
     late = all_strings.repartitionByRange(ranges_, "s").sortWithinPartitions("shard", "s").mapInArrow(merge, "shard long, late binary")
 
     def resolve(own: pa.Table, late: pa.Table) -> pa.Table:
-        run, row, start = (_unpack(own.column(c), np.int64) for c in ("run", "row", "start"))
+        run, block, start = (_unpack(own.column(c), np.int64) for c in ("run", "blocks", "starts"))
         hit = np.isin(run, _unpack(late.column("late"), np.int64))
-        return pa.table(list(range_rows(ranges(row[hit], start[hit]), buckets)), ["bucket", "gone"])
+        return pa.table(list(runs_of(block[hit], start[hit])), ["block", "spot"])
 
-    return held.select("shard", "run", "row", "start").groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(resolve, "bucket long, gone binary")
+    return held.select("shard", "run", "blocks", "starts").groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(resolve, "block long, spot long")
 
 
-def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+def removed(docs: DataFrame, split: int = SPLIT, most: int = BLOCK) -> DataFrame:
     """``docs`` with text as bytes in ``kept``, and ``n_bytes``, ``n_removed``, ``n_spans``."""
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    row_id, bucket_id = free(names, "_row"), free(names, "_bucket")
-    keyed = numbered(docs.select(*names), row_id)
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, shards = max(1, parts(docs.sparkSession), total // BUCKET), max(1, 4 * parts(docs.sparkSession), total // SHARD)
-    own = keyed.select(F.col(row_id).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", bucket_of(F.col(row_id), buckets).alias("bucket"))
-    verdicts = cut(judged(snippet_rows(own, recurring(places(own), buckets, shards, split)), buckets))
-    gone = verdicts.where("gone IS NOT NULL").select("bucket", "gone").union(merged(verdicts, buckets))
-    schema = T.StructType([keyed.schema[c] for c in names] + [T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
+    packed = blocks(docs.select(*names), "text", most)
+    shards = max(1, 4 * parts(docs.sparkSession), (packed.agg(F.sum("size")).first()[0] or 0) // SHARD)
+    verdicts = cut(judged(snippet_rows(packed, recurring(places(packed), shards, split))))
+    gone = verdicts.where("spot IS NOT NULL").select("block", "spot").union(merged(verdicts))
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("kept", T.BinaryType()), *counts])
 
     def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
-        data, offsets = text_buffers(texts.column("text").combine_chunks())
-        rows = texts.column(row_id).to_numpy()
-        r = _unpack(gone.column("gone"), np.int64, 3)
-        by_row, mark = np.argsort(rows), np.zeros(len(data) + 1, np.int32)
-        if len(r):
-            base = offsets[by_row[np.searchsorted(rows, r[:, 0], sorter=by_row)]]
-            np.add.at(mark, base + r[:, 1], 1)
-            np.add.at(mark, base + r[:, 2] + LENGTH, -1)
-        bad = np.cumsum(mark)[:-1] > 0
-        first = bad & ~np.concatenate([[False], bad[:-1]])[: len(bad)]
+        rows = unpacked(texts.column("body")[0])
+        data, offsets = texts_of(rows)
+        spot, mark = gone.column("spot").to_numpy(), np.zeros(len(data) + LENGTH + 129, np.int32)
+        np.add.at(mark, spot >> 7, 1)
+        np.add.at(mark, (spot >> 7) + (spot & 127) + LENGTH, -1)
+        bad = np.cumsum(mark)[: len(data)] > 0
+        first = bad.copy()
+        first[1:] &= ~bad[:-1]
         at = offsets[:-1][offsets[:-1] < offsets[1:]]
         first[at] = bad[at]  # spans end with their text
         count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
         n_gone, size = count(bad), np.diff(offsets)
         kept = _blobs(data[~bad], np.concatenate([[0], np.cumsum(size - n_gone)]))
-        return pa.table([texts.column(c) for c in names] + [kept, pa.array(size), pa.array(n_gone), pa.array(count(first))], [*names, *[f.name for f in schema.fields[len(names) :]]])
+        return pa.table([rows.column(c) for c in names] + [kept, pa.array(size), pa.array(n_gone), pa.array(count(first))], [*names, "kept", *[f.name for f in counts]])
 
-    texts = keyed.withColumn(bucket_id, bucket_of(F.col(row_id), buckets))
-    return texts.groupBy(bucket_id).cogroup(gone.groupBy("bucket")).applyInArrow(finish, schema)
+    return packed.select("block", "body").groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

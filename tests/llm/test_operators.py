@@ -231,7 +231,7 @@ def test_suffix_dedup_of_repeated_ids(spark, split):
     p, x = line(232), line(119)
     data = [(1, p), (5, p + x), (5, line(351)), (None, x * 2), (None, x * 2), (6, x * 3)] + [(rnd.randint(10, 30), line(rnd.randint(0, 150)) + p[: rnd.randint(90, 232)] + line(rnd.randint(0, 150))) for _ in range(60)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    out = suffix_dedup.removed(df, split).withColumn("sha", F.sha2("kept", 256))
+    out = suffix_dedup.removed(df, split, 2000).withColumn("sha", F.sha2("kept", 256))
     got = rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
     assert got == brute_bytes(pairs_of(df)) and (5, 351, 0, 0, sha(data[2][1])) in got
 
