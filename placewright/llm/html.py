@@ -16,7 +16,8 @@ differ by page, always go. At places that fewer than ``MANY`` pages of a host ha
 the like (``UNWANTED``) stand in for counts; on larger hosts names decide nothing there. Inside an article only names of adverts,
 sharing and sign-up boxes count.
 
-If articles or a main element remain, the text is theirs; else it is all that is left. Character references are decoded, white space
+On hosts whose places counts can judge, the text is all that is left; on others it is that of the articles, else of a main element, if
+the page has any. Character references are decoded, white space
 in a block becomes one space, and non-empty blocks are joined in page order by an empty line.
 
 Pages are written once in packed blocks; verdicts meet them by block, so no host's list is held anywhere, and a host's counts are
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from placewright.llm.common import blocks, cut, unpacked
 
-LEAST_PAGES, MANY, SHARE, MAIN_SHARE = 5, 20, 0.1, 0.5
+LEAST_PAGES, MANY, SHARE, MAIN_SHARE = 5, 40, 0.1, 0.5
 BLOCK = 4 << 20
 # HTML elements by their role.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
@@ -273,7 +274,7 @@ def main_text(source: str | None, template: frozenset[int] = frozenset(), counte
         state = in_article or node.tag == "article", in_main or node.tag == "main"
         todo += [(k, *state) for k in reversed(node.kids) if isinstance(k, Node)]
     blocks_: list[str] = []
-    for top in tops or mains or [root]:
+    for top in [root] if counted else tops or mains or [root]:
         blocks_ += _blocks(top, gone)
     return "\n\n".join(blocks_)
 

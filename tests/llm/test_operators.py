@@ -332,6 +332,37 @@ def test_html_repeated_articles_keep_their_words(spark):
     assert {r["text"] for r in html.extract(df).collect()} == {"T\n\none\n\ntwo\n\na\n\n1\n\nbare\n\nk"}
 
 
+def test_html_slots_against_a_plain_count(spark):
+    """On a host of many pages counts alone find slots, whatever they are called; keys that the operator finds are those of a plain count."""
+    rnd = random.Random(12)
+    words = lambda n, k: " ".join(rnd.choice("abcdefgh") * rnd.randint(2, 5) + str(rnd.randint(0, k)) for _ in range(n))
+    slot = [words(6, 10**6) for _ in range(12)]
+    body = lambda i: f"<body><div class='x1'><p>{rnd.choice(slot)}</p></div><div class='x2'><h1>T{i}</h1><p>{words(40, 10**6)}</p><p>{words(30, 10**6)}</p></div><div class='x3'>{words(3, 10**6)}</div></body>"
+    data = [(i, "http://many.example/a" if i < 60 else "http://few.example/a", body(i)) for i in range(66)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in html.extract(df, 5000).collect()}
+    seen, had, again = Counter(), Counter(), Counter()
+    for i, u, h in data:
+        for x in {(html.host_of(u), x.place, x.zone, html.key_of(x)) for x in html.hash_subtrees(html.parse(h))}:
+            seen[x] += 1
+    for x, n in seen.items():
+        had[x[:3]] += n
+        again[x[:3]] += n * (n > 1)
+    for i, u, h in data:
+        keys = {x for x in {(html.host_of(u), x.place, x.zone, html.key_of(x)) for x in html.hash_subtrees(html.parse(h))}}
+        out = {x[3] for x in keys if seen[x] >= 5 and x[2] != html.BULK or x[2] == html.AROUND and had[x[:3]] >= html.MANY and again[x[:3]] >= html.SHARE * had[x[:3]]}
+        assert got[i]["n_template"] == len(out) and (len(out) > 0) == (i < 60)
+        lost = re.search("x1'><p>(.*?)</p>", h)[1]
+        assert got[i]["text"].startswith(f"T{i}\n\n") == (i < 60) and (lost in got[i]["text"]) == (i >= 60)
+
+
+@pytest.mark.parametrize("text", ["<a " * 200_000, "</x>" * 200_000, "<p>" + "<b>" * 20_000 + "<hr>" * 20_000, "<a ='\">" * 60_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<article>" * 20_000 + "x", "<script>" * 50_000, "<!--" * 200_000])
+def test_html_hostile_pages_take_linear_time(text):
+    began = time.process_time()
+    html.main_text(text, frozenset([1]), frozenset([2]))
+    assert time.process_time() - began < 20
+
+
 # 7
 
 
