@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     elif a.command == "leads":
         places, box = spark.read.parquet(f"{a.db}/places"), area_of(spark, a)
         if a.enrich:
-            rows = landed.overlay_rows(landed.search_pages(spark, a.enrich).where(F.col("page") < a.max_calls))
+            rows = landed.overlay_rows(overlay.first_calls(landed.search_pages(spark, a.enrich), a.max_calls))
             places = overlay.attach_ratings(places, rows, now)
         out = leads.find_leads(places, a.locality, a.category, box, a.min_score, a.limit)
         if a.csv:
@@ -122,7 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         kept = overlay.sweep(pages, a.budget, a.pages_per_term)
         places = overlay.upsert_search_rows(spark.read.parquet(f"{a.db}/places"), kept, a.district, now)
         places.write.mode("overwrite").parquet(f"{a.db}/places_next")  # a snapshot of its own: the old one is being read
-        out = overlay.sweep_report(pages, kept)
+        out = overlay.sweep_report(pages, a.budget, a.pages_per_term)
     out.show(50, truncate=False)
     return out
 

@@ -64,12 +64,10 @@ def cell(x: Column, size: float = CELL_DEG) -> Column:
     return (x / size).cast("int")
 
 
-def reach(max_lat: float, radius_m: float, size: float = CELL_DEG) -> int:
+def reach(lat: Column, radius_m: float, size: float = CELL_DEG) -> Column:
     """Cells to each side that hold the radius at a latitude."""
-    import math
-
-    wide = radius_m / (111_000.0 * max(0.01, math.cos(math.radians(min(89.0, abs(max_lat))))))
-    return max(1, math.ceil(wide / size))
+    edge = F.least(F.lit(89.9), F.abs(lat) + radius_m / 110_000.0)
+    return F.greatest(F.lit(1), F.ceil(radius_m / (110_000.0 * F.cos(F.radians(edge))) / size).cast("int"))
 
 
 def area_km2(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from placewright.functions.fuzzy import best_set_ratio
 from placewright.functions.geo import cell, haversine_m, reach
 from placewright.functions.text import has_arabic, match_variants, normalized
+from placewright.operators.lineage import cut
 from placewright.operators.quality import repair
 from placewright.operators.rank import refresh_derived
 
@@ -33,15 +34,15 @@ def wanted(tags: Column) -> Column:
     return F.map_filter(tags, lambda k, v: k.isin(WANTED_TAGS))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float = 47.0) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """All (left, right) within the radius, by equi-join on grid cells: the right side goes to each neighbouring cell.
 
-    ``left`` has l_lon, l_lat; ``right`` has r_lon, r_lat. ``max_lat`` sets how many cells the radius spans.
+    ``left`` has l_lon, l_lat; ``right`` has r_lon, r_lat. A row's own latitude sets how many cells the radius spans.
     """
-    k = reach(max_lat, radius_m)
-    steps = F.array(*[F.lit(i) for i in range(-k, k + 1)])
+    span = lambda k: F.sequence(-k, k)
+    wide, high = span(reach(F.col("r_lat"), radius_m)), span(reach(F.lit(0.0), radius_m))
     at = left.withColumns({"cx": cell(F.col("l_lon")), "cy": cell(F.col("l_lat"))})
-    around = right.withColumn("cx", F.explode(F.transform(steps, lambda d: cell(F.col("r_lon")) + d))).withColumn("cy", F.explode(F.transform(steps, lambda d: cell(F.col("r_lat")) + d)))
+    around = right.withColumn("cx", F.explode(F.transform(wide, lambda d: cell(F.col("r_lon")) + d))).withColumn("cy", F.explode(F.transform(high, lambda d: cell(F.col("r_lat")) + d)))
     met = at.join(around, ["cx", "cy"]).drop("cx", "cy")
     return met.withColumn("dist", haversine_m(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("dist") <= radius_m)
 
@@ -50,12 +51,12 @@ def _names(*cols: Column) -> Column:
     return match_variants(*cols)
 
 
-def candidate_pairs(places: DataFrame, pois: DataFrame, max_lat: float = 47.0) -> DataFrame:
+def candidate_pairs(places: DataFrame, pois: DataFrame) -> DataFrame:
     """id, osm_type, osm_id, similarity, dist of pairs near enough and alike enough; a higher bar where scripts differ."""
     left = places.select("id", F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"), _names(F.col("name_primary"), F.col("name_ar"), F.col("name_en")).alias("l_names"), F.coalesce(has_arabic(F.col("name_primary")), F.lit(False)).alias("l_ar"))
     own = pois.where(is_poi())
     right = own.select("osm_type", "osm_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), _names(tag("name"), tag("name:ar"), tag("name:en")).alias("r_names"), F.coalesce(has_arabic(tag("name")), F.lit(False)).alias("r_ar"))
-    pairs = near_pairs(left.where(F.size("l_names") > 0), right.where(F.size("r_names") > 0), MATCH_M, max_lat)
+    pairs = near_pairs(left.where(F.size("l_names") > 0), right.where(F.size("r_names") > 0), MATCH_M)
     pairs = pairs.withColumn("similarity", best_set_ratio(F.col("l_names"), F.col("r_names")))
     bar = F.when(F.col("l_ar") == F.col("r_ar"), SAME_SCRIPT).otherwise(CROSS_SCRIPT)
     return pairs.where(F.col("similarity") >= bar).select("id", "osm_type", "osm_id", "similarity", "dist")
@@ -84,30 +85,28 @@ def one_to_one(pairs: DataFrame, left: list[str], right: list[str], order: list[
     sides are taken, and groups tied in ``order`` by rank (see ``_tied``); their rows leave.
 
     Equal to taking pairs in the whole order one by one; it ends when no pair is left, and every round takes one at least. Each
-    round's rest is checkpointed.
+    round's rest is written.
     """
     taken, rest, rounds = None, pairs, 0
-    reliable = pairs.sparkSession.sparkContext.getCheckpointDir() is not None
-    kept = lambda df: df.checkpoint() if reliable else df.localCheckpoint()
-    rest = kept(rest)
+    rest = cut(rest)
     while not rest.isEmpty():
         ranked = rest
         for side, rank, n, first in ((left, "_l", "_nl", "_fl"), (right, "_r", "_nr", "_fr")):
             own = W.partitionBy(*side)
             ranked = ranked.withColumns({rank: F.rank().over(own.orderBy(*order)), first: F.row_number().over(own.orderBy(*order, *left, *right))}).withColumn(n, F.count_if(F.col(rank) == 1).over(own))
-        ranked = kept(ranked.where("_l = 1 AND _r = 1"))
+        ranked = cut(ranked.where("_l = 1 AND _r = 1"))
         tied = _tied(ranked, left, right).withColumn("_tied", F.lit(True))
         best = ranked.dropDuplicates([*left, *right]).join(tied, [*left, *right], "left").where("_tied OR _fl = 1 AND _fr = 1")
-        best = kept(best.select(*pairs.columns))
+        best = cut(best.select(*pairs.columns))
         taken, rounds = best if taken is None else taken.unionByName(best), rounds + 1
         if rounds % 20 == 0:
-            taken = kept(taken)
-        rest = kept(rest.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti"))
+            taken = cut(taken)
+        rest = cut(rest.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti"))
     return rest if taken is None else taken
 
 
-def conflate(places: DataFrame, pois: DataFrame, max_lat: float = 47.0) -> DataFrame:
-    pairs = candidate_pairs(places, pois, max_lat)
+def conflate(places: DataFrame, pois: DataFrame) -> DataFrame:
+    pairs = candidate_pairs(places, pois)
     return one_to_one(pairs, ["id"], ["osm_type", "osm_id"], [F.desc("similarity"), F.col("dist")])
 
 
@@ -125,7 +124,7 @@ def fill(places: DataFrame, matches: DataFrame, pois: DataFrame, now: Column) ->
 
 def attach_entities(places: DataFrame, entities: DataFrame) -> DataFrame:
     """Sitelinks, photo and attribution of the entity (qid, image_url, sitelinks, attribution) a place names."""
-    e = entities.select(F.col("qid").alias("wikidata_id"), F.col("sitelinks").alias("_s"), F.col("image_url").alias("_u"), F.col("attribution").alias("_a"), F.lit(True).alias("_hit")).dropDuplicates(["wikidata_id"])
+    e = entities.select(F.col("qid").alias("wikidata_id"), F.col("sitelinks").alias("_s"), F.col("image_url").alias("_u"), F.col("attribution").alias("_a"), F.lit(True).alias("_hit")).withColumn("_n", F.row_number().over(W.partitionBy("wikidata_id").orderBy(F.desc("_s"), "_u", "_a"))).where("_n = 1").drop("_n")
     df = places.join(e, "wikidata_id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     df = df.withColumns({"wikidata_sitelinks": F.when(hit, F.col("_s").cast("int")).otherwise(F.col("wikidata_sitelinks")), "photo_url": F.when(hit, F.col("_u")).otherwise(F.col("photo_url")), "photo_attribution": F.when(hit, F.col("_a")).otherwise(F.col("photo_attribution"))})
@@ -154,13 +153,13 @@ def report(before: DataFrame, after: DataFrame, matches: DataFrame) -> DataFrame
     return counts.crossJoin(matches.agg(F.count("*").alias("matched")))  # one row each
 
 
-def geocode_match(places: DataFrame, answers: DataFrame, max_lat: float = 47.0) -> DataFrame:
+def geocode_match(places: DataFrame, answers: DataFrame) -> DataFrame:
     """id and the best geocoder answer within 200 m of similarity 70 or more, by similarity, then distance."""
     left = places.select("id", F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"), F.array(normalized(F.col("name_primary"))).alias("l_names"))
     details = lambda k: F.try_element_at("namedetails", F.lit(k))
     names = F.filter(F.array_distinct(F.array(*[normalized(c) for c in (F.col("name"), details("name"), details("name:ar"), details("name:en"))])), lambda n: n != "")
     right = answers.select("osm_type", "osm_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), names.alias("r_names"), "importance", F.try_element_at("extratags", F.lit("opening_hours")).alias("opening_hours"), F.try_element_at("extratags", F.lit("wikidata")).alias("wikidata_id"))
-    pairs = near_pairs(left, right, GEOCODE_M, max_lat).withColumn("similarity", best_set_ratio(F.col("l_names"), F.col("r_names"))).where(F.col("similarity") >= GEOCODE_SCORE)
+    pairs = near_pairs(left, right, GEOCODE_M).withColumn("similarity", best_set_ratio(F.col("l_names"), F.col("r_names"))).where(F.col("similarity") >= GEOCODE_SCORE)
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "dist", "osm_type", "osm_id")
     return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "osm_type", "osm_id", "importance", "opening_hours", "wikidata_id", "similarity", "dist")
 

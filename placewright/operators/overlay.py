@@ -16,12 +16,12 @@ EXPIRING = ["serpapi_rating", "serpapi_reviews", "serpapi_hours", "serpapi_price
 PAGE_SIZE = 20
 
 
-def attach_ratings(places: DataFrame, rows: DataFrame, now: Column, max_lat: float = 47.0) -> DataFrame:
+def attach_ratings(places: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     """Each search row (pos, place_id, title, lon, lat, rating, reviews, hours, price, website) goes to the most alike place within
     150 m, similarity 72 or more; several may go to one place, where the last in ``pos`` order counts. A missing website is filled."""
     left = places.select("id", F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"), match_variants(F.col("name_primary"), F.col("name_ar"), F.col("name_en")).alias("l_names"))
     right = rows.withColumnRenamed("lon", "r_lon").withColumnRenamed("lat", "r_lat").withColumn("r_names", match_variants(F.col("title")))
-    pairs = near_pairs(left, right, RATING_M, max_lat).withColumn("s", best_set_ratio(F.col("l_names"), F.col("r_names"))).where(F.col("s") >= RATING_SCORE)
+    pairs = near_pairs(left, right, RATING_M).withColumn("s", best_set_ratio(F.col("l_names"), F.col("r_names"))).where(F.col("s") >= RATING_SCORE)
     best = pairs.withColumn("_n", F.row_number().over(W.partitionBy("pos").orderBy(F.desc("s"), "id"))).where("_n = 1")
     last = best.groupBy("id").agg(F.max_by(F.struct("rating", "reviews", "hours", "price", F.col("place_id").alias("pid"), "website"), "pos").alias("g"), F.min_by("website", F.when(F.coalesce("website", F.lit("")) != "", F.col("pos"))).alias("site"))
     df = places.join(last, "id", "left")
@@ -31,31 +31,55 @@ def attach_ratings(places: DataFrame, rows: DataFrame, now: Column, max_lat: flo
     return df.drop("g", "site")
 
 
-def sweep(pages: DataFrame, max_calls: int = 20, pages_per_term: int = 2) -> DataFrame:
-    """Rows that a budgeted sweep over landed pages (term_no, page, results) keeps: each place once, in (term, page, place) order.
+def calls(pages: DataFrame, max_calls: int = 20, pages_per_term: int = 2) -> DataFrame:
+    """call, term_no, page, n (results), news (places no earlier call gave), of the pages a budgeted sweep calls for, in order.
 
-    Terms stop at a short page or one without news; calls stop at the budget.
+    A term ends at a page without news, at a short one, or at its last; the sweep ends with the budget. Each call depends on all
+    before it, but only the pages of the first ``max_calls`` terms can be called, and of these only keys come to the driver.
     """
-    pages = pages.where(F.col("page") < pages_per_term)
-    short = F.max((F.size("results") < PAGE_SIZE).cast("int")).over(W.partitionBy("term_no").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
-    live = pages.withColumn("_over", F.coalesce(short, F.lit(0))).where("_over = 0").drop("_over")
-    calls = live.select("term_no", "page").withColumn("_call", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("term_no", "page"))).where(F.col("_call") <= max_calls)  # a row a call
-    rows = live.join(F.broadcast(calls), ["term_no", "page"]).select("_call", F.posexplode("results").alias("pos", "r"))
+    own = pages.where(F.col("page") < pages_per_term)
+    terms = [r[0] for r in own.select("term_no").distinct().orderBy("term_no").limit(max_calls).collect()]
+    keys = F.transform("results", lambda r: F.coalesce(r["place_id"], r["data_id"]))
+    landed = own.where(F.col("term_no").isin(terms)).select("term_no", "page", keys.alias("keys")).orderBy("term_no", "page").collect()
+    made, seen, ended = [], set(), set()
+    for r in landed:
+        if len(made) == max_calls:
+            break
+        if r["term_no"] in ended:
+            continue
+        fresh = {k for k in r["keys"] if k} - seen
+        seen |= fresh
+        made.append((len(made) + 1, r["term_no"], r["page"], len(r["keys"]), len(fresh)))
+        if not fresh or len(r["keys"]) < PAGE_SIZE:
+            ended.add(r["term_no"])
+    return pages.sparkSession.createDataFrame(made, "call int, term_no int, page int, n int, news int")
+
+
+def sweep(pages: DataFrame, max_calls: int = 20, pages_per_term: int = 2) -> DataFrame:
+    """Rows that a budgeted sweep over landed pages (term_no, page, results) keeps: each place once, of the first call that gave it."""
+    made = calls(pages, max_calls, pages_per_term).select("call", "term_no", "page")
+    rows = pages.join(F.broadcast(made), ["term_no", "page"]).select("call", F.posexplode("results").alias("pos", "r"))
     key = F.coalesce("r.place_id", "r.data_id")
-    first = W.partitionBy(key).orderBy("_call", "pos")
-    return rows.where(key.isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("_call").alias("call"), "pos", "r.*")
+    first = W.partitionBy(key).orderBy("call", "pos")
+    return rows.where(key.isNotNull() & (key != "")).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("call", "pos", "r.*")
+
+
+def sweep_report(pages: DataFrame, max_calls: int = 20, pages_per_term: int = 2) -> DataFrame:
+    """calls, rows, places and terms ended by a page without news, in one row."""
+    made = calls(pages, max_calls, pages_per_term)
+    return made.agg(F.count("*").alias("calls"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("news"), F.lit(0)).alias("places"), F.count_if(F.col("news") == 0).alias("terms_exhausted"))
 
 
-def sweep_report(pages: DataFrame, kept: DataFrame) -> DataFrame:
-    """calls, rows, kept places and terms ended early, in one row."""
-    seen = pages.agg(F.count("*").alias("calls"), F.sum(F.size("results")).alias("rows"), F.countDistinct(F.when(F.size("results") < PAGE_SIZE, F.col("term_no"))).alias("terms_exhausted"))
-    return seen.crossJoin(kept.agg(F.count("*").alias("places")))  # one row each
+def first_calls(pages: DataFrame, max_calls: int) -> DataFrame:
+    """The pages that the first calls of a budget give, in order of terms and pages."""
+    return pages.orderBy("term_no", "page").limit(max_calls)
 
 
 def upsert_search_rows(places: DataFrame, rows: DataFrame, district: str, now: Column) -> DataFrame:
     """Search rows with coordinates update the place of their key or become places of their own, under a stable id."""
     gps = F.col("gps_coordinates")
-    new = rows.withColumn("key", F.coalesce("place_id", "data_id")).where(gps["latitude"].isNotNull() & gps["longitude"].isNotNull() & F.col("key").isNotNull()).dropDuplicates(["key"])
+    new = rows.withColumn("key", F.coalesce("place_id", "data_id")).where(gps["latitude"].isNotNull() & gps["longitude"].isNotNull() & F.col("key").isNotNull())
+    new = new.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(*[c for c in ("call", "pos") if c in rows.columns], "title", "address"))).where("_n = 1")
     new = new.select("key", F.col("title").alias("g_name"), F.col("type").alias("g_category"), gps["longitude"].alias("g_lon"), gps["latitude"].alias("g_lat"), clean_phone(F.col("phone")).alias("g_phone"), F.col("website").alias("g_site"), F.col("address").alias("g_address"), F.col("rating").alias("g_rating"), F.col("reviews").cast("int").alias("g_reviews"), F.coalesce("hours", "open_state").alias("g_hours"), F.col("price").alias("g_price"))
     known = places.join(new, F.col("serpapi_place_id") == F.col("key"), "left")
     hit = F.col("key").isNotNull()

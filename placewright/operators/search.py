@@ -71,8 +71,10 @@ def text_scores(asked: DataFrame, index: Index) -> DataFrame:
     return out.join(F.broadcast(counts), "query_id")
 
 
-def _cut(df: DataFrame, order: list[Column], limit: Column) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("_rank") <= limit).drop("_rank")
+def _cut(df: DataFrame, order: list[Column], most: int, limit: Column | None = None) -> DataFrame:
+    """First rows of each query. The literal bound lets every task keep only so many before the shuffle; ``limit`` may be tighter."""
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("_rank") <= most)
+    return (ranked if limit is None else ranked.where(F.col("_rank") <= limit)).drop("_rank")
 
 
 def _opened(df: DataFrame) -> DataFrame:
@@ -113,11 +115,11 @@ def search(places: DataFrame, index: Index, asked: DataFrame, limit: int = 20, w
     df = df.withColumn("distance_m", haversine_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
     df = df.where((~F.coalesce("require_all_terms", F.lit(False)) | (F.col("matched_terms") >= F.col("n_terms"))) & (F.col("q_category").isNull() | (F.col("final") == F.col("q_category"))))
     df = df.where((F.coalesce("radius_m", F.lit(0.0)) == 0) | F.col("q_lon").isNull() | F.col("q_lat").isNull() | (F.col("distance_m") <= F.col("radius_m")))
-    df = _cut(df, [F.desc("text_score"), F.col("place_id")], F.when(F.coalesce("open_now", F.lit(False)), 8 * limit).otherwise(4 * limit))
+    df = _cut(df, [F.desc("text_score"), F.col("place_id")], 8 * limit, F.when(F.coalesce("open_now", F.lit(False)), 8 * limit).otherwise(4 * limit))
     top = F.max("text_score").over(W.partitionBy("query_id"))
     df = _opened(df.withColumn("text_norm", F.coalesce(F.col("text_score") / F.nullif(top, F.lit(0.0)), F.lit(0.0))))
     df = df.withColumn("name_score", _name_score(normalized(F.col("query")))).withColumn("score", blended(F.col("text_norm"), F.col("name_score"), F.col("prominence"), F.col("distance_m"), w))
-    out = _shape(_cut(df, [F.desc("score"), F.col("place_id")], F.lit(limit)))
+    out = _shape(_cut(df, [F.desc("score"), F.col("place_id")], limit))
     rest = asked.where("NOT _some AND lon IS NOT NULL AND lat IS NOT NULL").drop("_some")
     return out if rest.isEmpty() else out.unionByName(nearby(places, rest, limit, keep_radius=True))
 
@@ -137,9 +139,9 @@ def nearby(places: DataFrame, asked: DataFrame, limit: int = 20, radius_m: float
     df = df.unionByName(_hits(places).join(F.broadcast(free), F.lit(True)))  # a query without radius asks for every place
     df = df.withColumn("distance_m", haversine_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
     df = df.where((F.coalesce("radius_m", F.lit(0.0)) <= 0) | (F.col("distance_m") <= F.col("radius_m"))).where(F.col("q_category").isNull() | (F.col("final") == F.col("q_category")))
-    df = _opened(_cut(df, [F.col("distance_m"), F.col("place_id")], F.when(F.coalesce("open_now", F.lit(False)), 8 * limit).otherwise(3 * limit)))
+    df = _opened(_cut(df, [F.col("distance_m"), F.col("place_id")], 8 * limit, F.when(F.coalesce("open_now", F.lit(False)), 8 * limit).otherwise(3 * limit)))
     df = df.withColumns({"text_norm": F.lit(0.0), "name_score": F.lit(0.0), "text_score": F.lit(0.0), "score": 0.6 * decay(F.col("distance_m")) + 0.4 * F.coalesce("prominence", F.lit(0.0))})
-    return _shape(_cut(df, [F.desc("score"), F.col("place_id")], F.lit(limit)))
+    return _shape(_cut(df, [F.desc("score"), F.col("place_id")], limit))
 
 
 def autocomplete(places: DataFrame, index: Index, asked: DataFrame, limit: int = 8) -> DataFrame:
@@ -153,10 +155,10 @@ def autocomplete(places: DataFrame, index: Index, asked: DataFrame, limit: int =
     met = index.postings.join(F.broadcast(whole), "term").groupBy("query_id", "place_id").agg(F.countDistinct("term").alias("met"))
     ids = ids.join(F.broadcast(need), "query_id", "left").join(met, ["query_id", "place_id"], "left").where(F.coalesce("need", F.lit(0)) <= F.coalesce("met", F.lit(0)))
     df = ids.join(_hits(places), "place_id").join(F.broadcast(q.drop("t")), "query_id").withColumn("distance_m", haversine_m(F.col("q_lon"), F.col("q_lat"), F.col("lon"), F.col("lat")))
-    df = _opened(_cut(df, [F.desc_nulls_last("prominence"), F.col("place_id")], F.lit(3 * limit)))
+    df = _opened(_cut(df, [F.desc_nulls_last("prominence"), F.col("place_id")], 3 * limit))
     df = df.withColumns({"text_norm": F.lit(1.0), "text_score": F.lit(1.0), "name_score": _name_score(normalized(F.col("query")))})
     df = df.withColumn("score", blended(F.col("text_norm"), F.col("name_score"), F.col("prominence"), F.col("distance_m"), PREFIX_WEIGHTS))
-    return _shape(_cut(df, [F.desc("score"), F.col("place_id")], F.lit(limit)))
+    return _shape(_cut(df, [F.desc("score"), F.col("place_id")], limit))
 
 
 def details(places: DataFrame, place_id: str, now: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from placewright.functions import hours, text
@@ -9,6 +11,7 @@ from placewright.functions.geo import BBox, decay, haversine_m
 from placewright.functions.lexicons import BRAND_CATEGORIES, CATEGORY_FIT, CHAIN_MARKERS, DEFAULT_FIT
 from placewright.functions.text import PLATFORMS
 from placewright.operators import conflate, corpus, districts, index, leads, overlay, quality, rank, search
+from placewright.plans import truths
 from placewright.plans.views import PLACES_SQL, places, table
 
 QUERIES: dict = {}
@@ -197,10 +200,15 @@ SQL["brand_lexicon"] = "WITH n AS (SELECT p_partkey, list_value(" + ", ".join(f"
 
 @query
 def dedupe(spark, sf_dir):
-    """Order-dependent; tests hold it against brute force."""
+    """Greedy by prominence; the SQL unrolls six rounds of it, more than places of one name chain up."""
     return quality.mark_duplicates(rank.recompute(places(spark, sf_dir))).select("id", "duplicate_of")
 
 
+_NEAR = f"n AS (SELECT id, lon, lat, prom, {NORM.format('name_primary')} AS norm FROM (SELECT *, {PROMINENCE} AS prom FROM places)), e AS (SELECT a.id, b.id AS better, b.prom FROM n a JOIN n b ON a.norm = b.norm AND a.id <> b.id AND (b.prom > a.prom OR b.prom = a.prom AND b.id < a.id) AND {distance_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 120), k0 AS (SELECT id FROM n WHERE FALSE), d0 AS (SELECT id FROM n WHERE FALSE)"
+_ROUNDS = "".join(f", k{i} AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM d{i - 1}) AND id NOT IN (SELECT id FROM e WHERE better NOT IN (SELECT id FROM d{i - 1}))), d{i} AS (SELECT DISTINCT id FROM e WHERE better IN (SELECT id FROM k{i}))" for i in range(1, 7))
+SQL["dedupe"] = f"{WITH}, {_NEAR}{_ROUNDS}, l AS (SELECT e.id, arg_min(better, (-e.prom, better)) AS leader FROM e WHERE better IN (SELECT id FROM k6) GROUP BY e.id) SELECT places.id, l.leader AS duplicate_of FROM places LEFT JOIN l ON l.id = places.id"
+
+
 @query
 def tag_categories(spark, sf_dir):
     t = table(spark, sf_dir, "part")
@@ -377,12 +385,12 @@ SQL["purge_stale"] = "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN NOT ts <
 @query
 def upsert(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    old = o.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit("X").alias("o_orderstatus"))  # known keys and a new one
     return corpus.upsert(old, new, "o_orderkey", ["o_orderstatus"])
 
 
-SQL["upsert"] = "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus, o.o_totalprice FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"
+SQL["upsert"] = "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), n AS (SELECT o_orderkey + 1 AS o_orderkey, 'X' AS o_orderstatus FROM orders) SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus, o.o_totalprice FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"
 
 
 @query
@@ -426,5 +434,21 @@ SQL["tokens"] = "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = split_
 
 @query
 def normalized_text(spark, sf_dir):
-    """Unicode folding has no SQL twin; tests pin it."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized(F.col("text")).cast("binary"), 256).alias("sha"))
+
+
+_WORD = "regexp_replace(regexp_replace(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[''’ʼʻ`´]', '', 'g'), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g')"
+SQL["normalized_text"] = f"SELECT doc_id, sha256(trim(regexp_replace({_WORD}, '\\s+', ' ', 'g'))) AS sha FROM documents"
+
+
+@query
+def nearby_open(spark, sf_dir):
+    """The feature is a top-k report of what is open, of twice as many candidates."""
+    asked = search.queries(spark, [{"query_id": "a", "query": "", "lon": 46.65, "lat": 24.65, "radius_m": 3000.0, "open_now": True, "now": datetime(2026, 9, 5, 1, 30)}])
+    return search.nearby(rank.recompute(places(spark, sf_dir)), asked).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+SQL["nearby_open"] = f"{WITH}, d AS (SELECT id, opening_hours, {distance_sql('CAST(46.65 AS DOUBLE)', 'CAST(24.65 AS DOUBLE)', 'lon', 'lat')} AS dist, {PROMINENCE} AS prom FROM places), c AS (SELECT *, row_number() OVER (ORDER BY dist, id) AS k FROM d WHERE dist <= 3000), s AS (SELECT id, 0.6 * exp(-dist / 1500) + 0.4 * prom AS score FROM c WHERE k <= 160 AND opening_hours = '24/7'), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS j FROM s) SELECT 'a' AS query_id, id, round(score, 6) AS score FROM t WHERE j <= 20"
+
+QUERIES |= truths.QUERIES
+SQL |= truths.SQL

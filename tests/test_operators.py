@@ -1,6 +1,7 @@
 """Operators over a small corpus: repair, districts, index, search, conflation, overlay, sinks."""
 
 import json
+import math
 from datetime import datetime
 
 import pytest
@@ -238,3 +239,25 @@ def test_csv_and_stream(spark, places, tmp_path):
     q = stream.latest_rows(rows).writeStream.format("memory").queryName("latest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.table("latest").count() == 2
+
+
+def test_near_pairs_at_any_latitude(spark):
+    """Every pair within the radius, up to high latitudes, where a degree of longitude is short."""
+    for lat in (0.0, 24.7, 47.5, 60.0, 75.0, -68.0):
+        step = 140 / (111_000 * math.cos(math.radians(lat)))
+        rows = [(i, 10 + i * 0.003713, lat + (i % 7) * 0.00031) for i in range(120)]
+        left = spark.createDataFrame(rows, "l int, l_lon double, l_lat double")
+        right = spark.createDataFrame([(i, lon + step * (-1) ** i, at) for i, lon, at in rows], "r int, r_lon double, r_lat double")
+        got = {(r["l"], r["r"]) for r in conflate.near_pairs(left, right, 150.0).collect()}
+        assert got >= {(i, i) for i in range(120)}
+
+
+def test_sweep_stops_a_term_without_news(spark):
+    """Three full pages of a term, the second without news, budget three: the third call goes to the next term."""
+    full = lambda a: [(f"g{i}", None) for i in range(a, a + 20)]
+    rows = [(0, 0, full(0)), (0, 1, full(0)), (0, 2, full(100)), (1, 0, full(200)), (1, 1, full(300))]
+    pages = spark.createDataFrame(rows, "term_no int, page int, results array<struct<place_id:string,data_id:string>>")
+    assert [tuple(r) for r in overlay.calls(pages, 3, 3).orderBy("call").collect()] == [(1, 0, 0, 20, 20), (2, 0, 1, 20, 0), (3, 1, 0, 20, 20)]
+    assert {r["place_id"] for r in overlay.sweep(pages, 3, 3).collect()} == {f"g{i}" for i in (*range(20), *range(200, 220))}
+    assert overlay.sweep_report(pages, 3, 3).first().asDict() == {"calls": 3, "rows": 60, "places": 40, "terms_exhausted": 1}
+    assert overlay.sweep(pages.limit(0)).count() == 0 and overlay.first_calls(pages, 2).count() == 2
