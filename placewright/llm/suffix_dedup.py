@@ -3,14 +3,14 @@
 Every byte covered by a ``LENGTH``-byte string that also starts earlier (in a smaller doc_id, or in the same text before) goes.
 
 1. Discarding by hash. A string's anchor is its ``GRAM``-byte substring of least hash, so equal strings have equal anchors in the same
-   place. Consecutive strings with one anchor form a snippet of some 135 bytes. Snippets are counted by the anchor's hash; an
-   anchor found once proves its strings unique, and they go no further. Nothing is removed on a hash.
+   place. Consecutive strings with one anchor form a snippet of some 135 bytes. Each block counts its snippets by the anchor's hash; an
+   anchor found once in all proves its strings unique, and they go no further. Nothing is removed on a hash.
 2. Shards. The bytes of all other snippets are dealt to shards by anchor, so equal strings meet in one shard. An anchor with more than
-   ``SPLIT`` snippets is dealt to several, a text's snippets never apart. A shard builds the suffix array of its different snippets by
+   ``SPLIT`` different snippets (summed over blocks) is dealt to several, a block's snippets never apart. A shard builds the suffix array of its different snippets by
    Larsson-Sadakane refinement (ranks of 8 bytes, doubled while groups are unsorted) and Kasai's common prefixes (in step over all
    snippets). Runs of common prefixes of ``LENGTH`` or more are equal strings; all their places but the earliest go.
 3. Merging. Strings of split anchors may recur in other shards. Each shard gives them in the order of its suffix array with their
-   least doc_id; ranges of that order are merged from all shards by binary search, and a shard whose least doc_id isn't the least of all
+   least doc_id; each list is cut at common bounds, the pieces of a range are merged by binary search, and a shard whose least doc_id isn't the least of all
    removes its first places too.
 
 Rows are first written in blocks of some ``BLOCK`` bytes, packed, and a place is a block and a position in its texts. Blocks meet
@@ -43,6 +43,7 @@ SEGMENT = 1 << 18
 BLOCK = 4 << 20
 SHARD = 1 << 20
 SPLIT = 4000
+RANGE, PREFIX = 16 << 20, 16
 NO_ID = -(1 << 63)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64), 77)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -60,7 +61,7 @@ def window_least(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first and last string start of every snippet, in order; strings stay within texts."""
+    """Hashes of anchor and bytes, first and last string start of every snippet, in order; strings stay within texts."""
     out: list[tuple] = []
     n = len(data)
     for lo in range(0, max(0, n - LENGTH + 1), SEGMENT):
@@ -83,8 +84,9 @@ def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             a = at[i]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (i[1:] != i[:-1] + 1)])
             i0, i1, a = i[new], i[np.concatenate([new[1:], [True]])], a[new]
-        out.append((h[a], i0 + lo, i1 + lo))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            s = mix((total[i1 + LENGTH] - total[i0]) * back[i0] + (i1 - i0).astype(np.uint64), 6)
+        out.append((h[a], s, i0 + lo, i1 + lo))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _blobs(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -111,69 +113,92 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_buffers(table.column("text").combine_chunks())
 
 
-def places(packed: DataFrame) -> DataFrame:
-    """h (hash of the anchor), block, spot (first start in the block's texts << 7 | number of starts - 1) of every snippet."""
+def block_snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a whole block, as ``snippets``."""
+    found = [(h, s, i0 + offsets[i], i1 + offsets[i]) for i, j in chunks(offsets, SEGMENT) for h, s, i0, i1 in [snippets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def anchors(packed: DataFrame) -> DataFrame:
+    """h, block, n: how many snippets with an anchor a block has, k: how many of them differ."""
 
     def run(batches):
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
-                data, offsets = texts_of(unpacked(body))
-                for i, j in chunks(offsets, SEGMENT):
-                    h, i0, i1 = snippets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block)), pa.array((i0 + offsets[i]) << 7 | (i1 - i0))], ["h", "block", "spot"])
+                h, s, _, _ = block_snippets(*texts_of(unpacked(body)))
+                order = np.lexsort((s, h))
+                h, s = h[order], s[order]
+                edges, new = _edges(h), np.ones(len(h), np.int64)
+                new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+                k = np.add.reduceat(new, edges[:-1]) if len(h) else new
+                yield pa.RecordBatch.from_arrays([pa.array(h[edges[:-1]].view(np.int64)), pa.array(np.full(len(k), block)), pa.array(np.diff(edges)), pa.array(k)], ["h", "block", "n", "k"])
 
-    return packed.select("block", "body").mapInArrow(run, "h long, block long, spot long")
+    return packed.select("block", "body").mapInArrow(run, "h long, block long, n long, k long")
 
 
 def recurring(found: DataFrame, shards: int, split: int) -> DataFrame:
-    """block, spot, shard, open (whether the anchor is split) of snippets whose anchor recurs."""
-    own = W.partitionBy("h")
-    found = found.select("*", F.rank().over(own.orderBy("block")).alias("n"), F.count("*").over(own).alias("k")).where("k > 1")
-    sub = F.when(F.col("k") > split, F.floor((F.col("n") - 1) / split)).otherwise(0)  # places of a block have one rank
-    return found.select("block", "spot", F.pmod(F.xxhash64("h", sub), F.lit(shards)).alias("shard"), (F.col("k") > split).cast("long").alias("open"))
+    """block, h, shard, open (whether the anchor is split) of anchors that recur. A frequent anchor has a row a block at most."""
+    whole = W.partitionBy("h")
+    before = F.sum("k").over(whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    found = found.select("*", F.sum("n").over(whole).alias("all"), F.sum("k").over(whole).alias("unlike"), F.coalesce(before, F.lit(0)).alias("before")).where("all > 1")
+    sub = F.when(F.col("unlike") > split, F.floor(F.col("before") / split)).otherwise(0)
+    return found.select("block", "h", F.pmod(F.xxhash64("h", sub), F.lit(shards)).alias("shard"), (F.col("unlike") > split).cast("long").alias("open"))
 
 
-_FIELDS = (("size", np.int32), ("doc", np.int64), ("row", np.int32), ("spot", np.int64), ("open", np.int8))
+_OF_BYTES = (("size", np.int32), ("open", np.int8))
+_OF_PLACE = (("which", np.int32), ("doc", np.int64), ("row", np.int32), ("spot", np.int64))
 
 
 def snippet_rows(packed: DataFrame, at: DataFrame) -> DataFrame:
-    """shard, block, n, body: of each shard's snippets in a block sizes, doc_ids, rows, spots, whether open, and bytes, compressed."""
+    """shard, block, k, n, body: of each shard's snippets in a block the k different ones and their n places (doc_id, row, spot), compressed."""
 
     def run(texts: pa.Table, at: pa.Table) -> pa.Table:
-        spot, shard, open_ = (at.column(c).to_numpy() for c in ("spot", "shard", "open"))
         out: list[tuple] = []
-        if len(spot):
+        if at.num_rows:
             table = unpacked(texts.column("body")[0])
             data, offsets = texts_of(table)
-            docs, pack = table.column("doc_id").fill_null(NO_ID).to_numpy(), zstandard.ZstdCompressor(level=1)
-            order = np.lexsort((spot, shard))
-            spot, shard, open_ = spot[order], shard[order], open_[order]
-            start = spot >> 7
-            size, row = (spot & 127) + LENGTH, np.searchsorted(offsets, start, "right") - 1
-            edges = _edges(shard)
+            docs, pack, raw = table.column("doc_id").fill_null(NO_ID).to_numpy(), zstandard.ZstdCompressor(level=1), data.tobytes()
+            wanted, shard, open_ = (at.column(c).to_numpy() for c in ("h", "shard", "open"))
+            order = np.argsort(wanted)
+            wanted, shard, open_ = wanted[order], shard[order], open_[order]
+            h, _, i0, i1 = block_snippets(data, offsets)
+            k = np.minimum(np.searchsorted(wanted, h.view(np.int64)), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[k] == h.view(np.int64))
+            hit = hit[np.argsort(shard[k[hit]], kind="stable")]
+            k, i0, i1 = k[hit], i0[hit], i1[hit]
+            row, spot, edges = np.searchsorted(offsets, i0, "right") - 1, i0 << 7 | (i1 - i0), _edges(shard[k])
             for a, b in zip(edges, edges[1:]):
-                n, m = size[a:b], slice(a, b)
-                raw = data[np.repeat(start[m] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                fields = zip(_FIELDS, (n, docs[row[m]], row[m], spot[m], open_[m]))
-                out.append((int(shard[a]), int(texts.column("block")[0].as_py()), int(b - a), pack.compress(b"".join([x.astype(k).tobytes() for (_, k), x in fields] + [raw.tobytes()]))))
-        cols = [*zip(*out)] or [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "n", "body"])
-
-    return packed.select("block", "body").groupBy("block").cogroup(at.groupBy("block")).applyInArrow(run, "shard long, block long, n long, body binary")
-
-
-def read_snippets(t: pa.Table) -> tuple[dict, np.ndarray, list[bytes]]:
-    """Columns of all snippets of a shard, their blocks, and their bytes."""
-    unpack, cols, blobs = zstandard.ZstdDecompressor(), {c: [] for c, _ in _FIELDS}, []
-    for n, body in zip(t.column("n").to_pylist(), t.column("body").to_pylist()):
+                different: dict[bytes, int] = {}
+                which = [different.setdefault(raw[x : y + LENGTH], len(different)) for x, y in zip(i0[a:b].tolist(), i1[a:b].tolist())]
+                first = np.unique(which, return_index=True)[1] + a
+                own = (np.array([len(x) for x in different]), open_[k[first]], np.array(which), docs[row[a:b]], row[a:b], spot[a:b])
+                body = b"".join([x.astype(kind).tobytes() for (_, kind), x in zip((*_OF_BYTES, *_OF_PLACE), own)] + list(different))
+                out.append((int(shard[k[a]]), int(texts.column("block")[0].as_py()), len(different), int(b - a), pack.compress(body)))
+        cols = [*zip(*out)] or [[]] * 5
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (*[pa.int64()] * 4, pa.binary()))], ["shard", "block", "k", "n", "body"])
+
+    return packed.select("block", "body").groupBy("block").cogroup(at.groupBy("block")).applyInArrow(run, "shard long, block long, k long, n long, body binary")
+
+
+def read_snippets(t: pa.Table) -> tuple[list[bytes], np.ndarray, dict]:
+    """Different snippets of a shard, whether each is open, and of all places which it is, block, doc, row and spot."""
+    unpack, different, open_ = zstandard.ZstdDecompressor(), {}, []
+    cols: dict = {c: [] for c, _ in (*_OF_BYTES, *_OF_PLACE)}
+    for k, n, body in zip(*(t.column(c).to_pylist() for c in ("k", "n", "body"))):
         raw, at = unpack.decompress(body), 0
-        for c, k in _FIELDS:
-            cols[c].append(np.frombuffer(raw, k, n, at))
-            at += n * np.dtype(k).itemsize
-        for size in cols["size"][-1].tolist():
-            blobs.append(raw[at : at + size])
-            at += size
-    return {c: np.concatenate(v) for c, v in cols.items()}, np.repeat(t.column("block").to_numpy(), t.column("n").to_numpy()), blobs
+        for fields, count in ((_OF_BYTES, k), (_OF_PLACE, n)):
+            for c, kind in fields:
+                cols[c].append(np.frombuffer(raw, kind, count, at))
+                at += count * np.dtype(kind).itemsize
+        ends = at + np.cumsum(cols["size"][-1], dtype=np.int64)
+        names = np.array([different.setdefault(raw[b - size : b], len(different)) for b, size in zip(ends.tolist(), cols["size"][-1].tolist())], np.int64)
+        cols["which"][-1] = names[cols["which"][-1]]
+        open_.append(np.stack([names, cols["open"][-1]]))
+    known = np.zeros(len(different), bool)
+    for names, flag in open_:
+        known[names[flag > 0]] = True
+    out = {c: np.concatenate(cols[c]) for c, _ in _OF_PLACE} | {"block": np.repeat(t.column("block").to_numpy(), t.column("n").to_numpy())}
+    return list(different), known, out
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -267,11 +292,9 @@ def judged(rows: DataFrame) -> DataFrame:
     """block, spot of starts that go; of split anchors a row a shard with strings in order, their least doc_id, and the places that have it."""
 
     def run(t: pa.Table) -> pa.Table:
-        cols, block, blobs = read_snippets(t)
-        doc, start = cols["doc"], cols["spot"] >> 7
-        different: dict[bytes, int] = {}
-        which = np.array([different.setdefault(b, len(different)) for b in blobs], np.int64)
-        data, starts, lens, runs = equal_strings(list(different))
+        different, open_, cols = read_snippets(t)
+        which, block, doc, start = cols["which"], cols["block"], cols["doc"], cols["spot"] >> 7
+        data, starts, lens, runs = equal_strings(different)
         n = lens[which] - LENGTH + 1  # strings of each place
         place = np.repeat(np.arange(len(which)), n)
         inside = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
@@ -291,7 +314,7 @@ def judged(rows: DataFrame) -> DataFrame:
         again[few[1:]] |= (own[few[1:]] == own[few[:-1]]) & (text[place[few[1:]]] == text[place[few[:-1]]])
         gone, spot = runs_of(block[place[again]], at[again])
         out = [gone, spot, pa.nulls(len(gone), pa.int64()), *[pa.nulls(len(gone), pa.binary())] * 5]
-        rest = np.flatnonzero(~again & (cols["open"] > 0)[place])
+        rest = np.flatnonzero(~again & open_[which][place])
         if len(rest):
             rest = rest[np.argsort(own[rest], kind="stable")]
             keys, first, number = np.unique(own[rest], return_index=True, return_inverse=True)
@@ -322,32 +345,35 @@ def merged(judged_: DataFrame) -> DataFrame:
     """block, spot: places of split anchors' strings that other shards have in a smaller doc_id."""
     held = judged_.where("shard IS NOT NULL")
 
-    def strings(batches):
-        for batch in batches:
-            for shard, s, least in zip(batch.column("shard").to_pylist(), batch.column("strings").to_pylist(), batch.column("least").to_pylist()):
-                n = len(s) // LENGTH
-                yield pa.RecordBatch.from_arrays([_blobs(np.frombuffer(s, np.uint8), np.arange(n + 1) * LENGTH), pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(np.frombuffer(least, np.int64))], ["s", "shard", "run", "least"])
-
-    def merge(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        s = np.frombuffer(_unpack(t.column("s"), np.uint8).tobytes(), f"S{LENGTH}")
-        shard, number, least = (t.column(c).to_numpy() for c in ("shard", "run", "least"))
-        edges = _edges(shard)  # sorted by shard and string
-        all_, first = merge_runs([(s[a:b], least[a:b]) for a, b in zip(edges, edges[1:])])
-        for a, b in zip(edges, edges[1:]):
-            now = first[np.searchsorted(all_, s[a:b])]
-            late = now < least[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array([shard[a]]), pa.array([number[a:b][late].tobytes()], pa.binary())], ["shard", "late"])
-
     total = held.agg(F.sum(F.length("strings"))).first()[0]
     if not total:
         return held.select("block", "spot")
-    ranges_ = max(parts(judged_.sparkSession), total // (16 << 20))
-    all_strings = held.select("shard", "strings", "least").mapInArrow(strings, "s binary, shard long, run long, least long")
-    late = all_strings.repartitionByRange(ranges_, "s").sortWithinPartitions("shard", "s").mapInArrow(merge, "shard long, late binary")
+    ranges_ = max(parts(judged_.sparkSession), total // RANGE)
+    step = max(1, total // LENGTH // (ranges_ * 32))
+
+    def sample(batches):
+        for batch in batches:
+            found = [x for s in batch.column("strings").to_pylist() for x in np.frombuffer(s, f"S{LENGTH}")[:: -step].astype(f"S{PREFIX}").tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["s"])
+
+    seen = sorted(bytes(r[0]) for r in held.select("strings").mapInArrow(sample, "s binary").collect())  # prefixes, some 32 a range
+    bounds = np.array(sorted({seen[len(seen) * i // ranges_] for i in range(1, ranges_)}), f"S{PREFIX}")
+
+    def cut_up(batches):
+        for batch in batches:
+            for shard, s, least in zip(batch.column("shard").to_pylist(), batch.column("strings").to_pylist(), batch.column("least").to_pylist()):
+                edges = [0, *np.searchsorted(np.frombuffer(s, f"S{LENGTH}"), bounds.astype(f"S{LENGTH}")).tolist(), len(s) // LENGTH]
+                rows = [(i, shard, a, s[a * LENGTH : b * LENGTH], least[8 * a : 8 * b]) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["range", "shard", "first", "strings", "least"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        pieces = [(np.frombuffer(s, f"S{LENGTH}"), np.frombuffer(x, np.int64)) for s, x in zip(t.column("strings").to_pylist(), t.column("least").to_pylist())]
+        all_, least = merge_runs(pieces)
+        late = [(first + np.flatnonzero(least[np.searchsorted(all_, s)] < own)).tobytes() for (s, own), first in zip(pieces, t.column("first").to_pylist())]
+        return pa.table([t.column("shard"), pa.array(late, pa.binary())], ["shard", "late"])
+
+    pieces = held.select("shard", "strings", "least").mapInArrow(cut_up, "range long, shard long, first long, strings binary, least binary")
+    late = pieces.groupBy("range").applyInArrow(merge, "shard long, late binary")
 
     def resolve(own: pa.Table, late: pa.Table) -> pa.Table:
         run, block, start = (_unpack(own.column(c), np.int64) for c in ("run", "blocks", "starts"))
@@ -362,7 +388,7 @@ def removed(docs: DataFrame, split: int = SPLIT, most: int = BLOCK) -> DataFrame
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     packed = blocks(docs.select(*names), "text", most)
     shards = max(1, 4 * parts(docs.sparkSession), (packed.agg(F.sum("size")).first()[0] or 0) // SHARD)
-    verdicts = cut(judged(snippet_rows(packed, recurring(places(packed), shards, split))))
+    verdicts = cut(judged(snippet_rows(packed, recurring(anchors(packed), shards, split))))
     gone = verdicts.where("spot IS NOT NULL").select("block", "spot").union(merged(verdicts))
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("kept", T.BinaryType()), *counts])
