@@ -157,3 +157,8 @@ def blocks(docs: DataFrame, text: str, most: int) -> DataFrame:
 def unpacked(body) -> pa.Table:
     """Rows of a block."""
     return pa.ipc.open_stream(body.as_buffer()).read_all()
+
+
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    """A column of numbers; a side of a cogroup that has no rows for a key may come without columns."""
+    return table.column(name).to_numpy() if name in table.column_names else np.zeros(0, np.int64)

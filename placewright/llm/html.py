@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import blocks, cut, unpacked
+from placewright.llm.common import blocks, cut, numbers, unpacked
 
 LEAST_PAGES, MANY, SHARE, MAIN_SHARE = 5, 40, 0.1, 0.5
 BLOCK = 4 << 20
@@ -355,7 +355,7 @@ def extract(pages: DataFrame, most: int = BLOCK) -> DataFrame:
 
     def run(rows: pa.Table, judged: pa.Table) -> pa.Table:
         t, gone, counted = unpacked(rows.column("body")[0]), {}, {}
-        for page, place, key, out, slot in zip(*(judged.column(c).to_pylist() for c in ("page", "place", "key", "gone", "slot"))):
+        for page, place, key, out, slot in zip(*(numbers(judged, c).tolist() for c in ("page", "place", "key", "gone", "slot"))):
             if out:
                 gone.setdefault(page, set()).add(key)
             if slot:

@@ -1,34 +1,36 @@
 """Line deduplication with a sharded minimal perfect hash.
 
 A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of at least ``least_chars`` code
-points that occur in at least ``least_docs`` documents lose all their lines except in the largest doc_id holding
-them. Key hashes (128 bits) are counted once a document in Spark. Frequent ones are dealt to shards by hash; each
-shard is a minimal perfect hash over their low halves with arrays of 64-bit fingerprints (the high halves), counts
-and largest doc_ids. Documents probe these arrays: by broadcast while all shards together hold at most
-``broadcast_bytes``, measured before; beyond that packed probes go to the shard that holds their arrays, and only
-row numbers of dropped lines come back.
-
-Null or empty text is one empty line. Every row is a document; rows that repeat a doc_id count each, and all rows
-of the largest doc_id keep their lines. A null doc_id ranks below all others. Other columns pass through.
+points that occur in at least ``least_docs`` documents lose all their lines except in the largest doc_id holding them.
+
+1. Rows are written in packed blocks of some ``BLOCK`` bytes. Every block gives the 128-bit hashes of its distinct keys with the number
+   of its documents that hold them and the largest doc_id; Spark adds these up by hash.
+2. All distinct hashes are dealt to shards of some ``SHARD_KEYS``. A shard is a minimal perfect hash over their low halves; its index
+   reaches arrays of 64-bit fingerprints (the high halves), document counts and largest doc_ids.
+3. Documents probe these arrays by block: the distinct hashes of a block go to the shards, and those whose count reaches the limit come
+   back with the doc_id that keeps them. A key of any frequency is one probe a block. A shard is probed in as many groups as
+   hold ``GROUP`` blocks each, so no task's probes grow with the corpus.
+
+There is one way for every size; nothing is shipped to all tasks. Null or empty text is one empty line. Every row is a document: rows
+that repeat a doc_id count each, and all rows of the largest doc_id keep their lines. A null doc_id ranks below all others. Other
+columns pass through.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import WHITE, cut, free
-from placewright.llm.perfect_hash import PerfectHash, mix
+from placewright.llm.common import WHITE, blocks, cut, numbers, parts, unpacked
+from placewright.llm.perfect_hash import PerfectHash
 
+BLOCK = 4 << 20
 SHARD_KEYS = 200_000
-BROADCAST_BYTES = 48 << 20
+GROUP = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -53,149 +55,98 @@ def _signed(x) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
-def frequent(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
-    """low, high, n_docs, keep_doc of the keys found in enough documents."""
+def _signed(x) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
+def _ids(table: pa.Table) -> list[int]:
+    return [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+
 
-    def hashes(batches):
+def keys_of_blocks(packed: DataFrame, least_chars: int) -> DataFrame:
+    """block, low, high, n (documents of the block that hold the key), top (their largest doc_id)."""
+
+    def run(batches):
         for batch in batches:
-            ids, low, high = [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                _, _, a, b = line_hashes(text, least_chars)
-                own = {*zip(a, b)}
-                ids += [NO_ID if i is None else i] * len(own)
-                low += [x for x, _ in own]
-                high += [x for _, x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(low)), pa.array(_signed(high)), pa.array(ids, pa.int64())], ["low", "high", "doc_id"])
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                table, found = unpacked(body), {}
+                for i, text in zip(_ids(table), table.column("text").to_pylist()):
+                    _, _, low, high = line_hashes(text, least_chars)
+                    for key in {*zip(low, high)}:
+                        n, top = found.get(key, (0, NO_ID))
+                        found[key] = n + 1, max(top, i)
+                low, high, n, top = _signed([k[0] for k in found]), _signed([k[1] for k in found]), [v[0] for v in found.values()], [v[1] for v in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(low), pa.array(high), pa.array(n, pa.int64()), pa.array(top, pa.int64())], ["block", "low", "high", "n", "top"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, "low long, high long, doc_id long")
-    return rows.groupBy("low", "high").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc")).where(F.col("n_docs") >= least_docs)
+    return cut(packed.select("block", "body").mapInArrow(run, "block long, low long, high long, n long, top long"))
 
 
 class Shard:
-    """Compact arrays under a minimal perfect hash. Of two keys with one low half, the spare holds all but one."""
+    """Compact arrays under a minimal perfect hash. Of keys with one low half, the spare holds all but one."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, keep: np.ndarray, count: np.ndarray):
+    def __init__(self, low: np.ndarray, high: np.ndarray, count: np.ndarray, keep: np.ndarray):
         _, first = np.unique(low, return_index=True)
-        self.hash = PerfectHash(low[first])
-        at, n = self.hash.index(low[first]), len(first)
-        self.marks, self.keep, self.count = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64)
-        self.marks[at], self.keep[at], self.count[at] = high[first], keep[first], count[first]
-        rest = np.setdiff1d(np.arange(len(low)), first)
-        self.spare = {(int(low[i]), int(high[i])): int(keep[i]) for i in rest}
-
-    def drops(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        self.hash, n = PerfectHash(low[first]), len(first)
+        at = self.hash.index(low[first])
+        self.marks, self.count, self.keep = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64)
+        self.marks[at], self.count[at], self.keep[at] = high[first], count[first], keep[first]
+        self.spare = {(int(low[i]), int(high[i])): (int(count[i]), int(keep[i])) for i in np.setdiff1d(np.arange(len(low)), first)}
+
+    def look(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document count and largest doc_id of each key; count 0 for others."""
         at = self.hash.index(low)
         found = at >= 0
         found[found] = self.marks[at[found]] == high[found]
-        out = found.copy()
-        out[found] = ids[found] < self.keep[at[found]]
-        if self.spare:
-            for i in np.flatnonzero(~found):
-                keep = self.spare.get((int(low[i]), int(high[i])))
-                out[i] = keep is not None and ids[i] < keep
-        return out
+        count, keep = np.zeros(len(low), np.int64), np.full(len(low), NO_ID)
+        count[found], keep[found] = self.count[at[found]], self.keep[at[found]]
+        for i in np.flatnonzero(~found) if self.spare else ():
+            count[i], keep[i] = self.spare.get((int(low[i]), int(high[i])), (0, NO_ID))
+        return count, keep
+
+
+def frequent(keys: DataFrame, least_docs: int, shard_keys: int, group: int) -> DataFrame:
+    """block, low, high, keep of the keys of each block that are in at least ``least_docs`` documents."""
+    n_keys, n_blocks = keys.agg(F.count("*"), F.approx_count_distinct("block")).first()
+    shards, groups = max(1, parts(keys.sparkSession), n_keys // shard_keys), max(1, n_blocks // group)
+    shard = F.pmod(F.xxhash64("low"), F.lit(shards)).alias("shard")
+    counted = keys.groupBy("low", "high").agg(F.sum("n").alias("n"), F.max("top").alias("keep"))
+    index = counted.select(shard, "low", "high", "n", "keep", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    probes = keys.select(shard, F.pmod("block", F.lit(groups)).cast("int").alias("part"), F.col("block").alias("of"), F.col("low").alias("a"), F.col("high").alias("b"))  # columns of its own: both sides come from one table
 
+    def probe(held: pa.Table, asked: pa.Table) -> pa.Table:
+        low, high = numbers(asked, "a"), numbers(asked, "b")
+        arrays = Shard(numbers(held, "low").view(np.uint64), numbers(held, "high").view(np.uint64), numbers(held, "n"), numbers(held, "keep"))
+        count, keep = arrays.look(low.view(np.uint64), high.view(np.uint64))
+        hit = count >= least_docs
+        return pa.table([pa.array(x[hit]) for x in (numbers(asked, "of"), low, high, keep)], ["block", "low", "high", "keep"])
 
-def _shard_of(low: np.ndarray, n: int) -> np.ndarray:
-    return (mix(low, 977) % np.uint64(n)).astype(np.int64)
+    return index.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(probe, "block long, low long, high long, keep long")
 
 
 def _kept(raw: list[bytes], gone: set[int]) -> str:
     return b"\n".join(x for i, x in enumerate(raw) if i not in gone).decode("utf-8", "surrogatepass") if gone else b"\n".join(raw).decode("utf-8", "surrogatepass")
 
 
-def dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, shard_keys: int = SHARD_KEYS, group: int = GROUP, most: int = BLOCK) -> DataFrame:
     """``docs`` with ``text`` of the kept lines, ``n_lines`` and ``n_dropped``."""
-    spark = docs.sparkSession
-    keys = cut(frequent(docs, least_chars, least_docs))
-    n_keys = keys.count()
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    packed = blocks(docs.select(*names), "text", most)
+    found = frequent(keys_of_blocks(packed, least_chars), least_docs, shard_keys, group)
     schema = T.StructType([T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
-    def finish(batch, drops_of):
+    def apply(rows: pa.Table, found: pa.Table) -> pa.Table:
+        table = unpacked(rows.column("body")[0])
+        keep = {(a, b): k for a, b, k in zip(numbers(found, "low").view(np.uint64).tolist(), numbers(found, "high").view(np.uint64).tolist(), numbers(found, "keep").tolist())}
         texts, lines, dropped = [], [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            raw, gone = drops_of(k, text)
+        for i, text in zip(_ids(table), table.column("text").to_pylist()):
+            raw, at, low, high = line_hashes(text, least_chars)
+            gone = {x for x, key in zip(at, zip(low, high)) if i < keep.get(key, NO_ID)} if keep else set()
             texts.append(_kept(raw, gone))
             lines.append(len(raw))
             dropped.append(len(gone))
-        cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "n_dropped"])
-
-    n_shards = max(1, -(-n_keys // shard_keys))
-    if n_keys * 40 <= broadcast_bytes:  # 32 bytes of arrays and under 1 of hash a key
-        rows = keys.toPandas()
-        low, high = rows["low"].to_numpy(np.int64).view(np.uint64), rows["high"].to_numpy(np.int64).view(np.uint64)
-        own = _shard_of(low, n_shards)
-        shards = [Shard(low[m := own == s], high[m], rows["keep_doc"].to_numpy()[m], rows["n_docs"].to_numpy()[m]) for s in range(n_shards)]
-        shared = spark.sparkContext.broadcast(shards)
-
-        def probe(batches):
-            arrays = shared.value
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-
-                def drops_of(k, text):
-                    raw, at, a, b = line_hashes(text, least_chars)
-                    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
-                    who, mine, gone = _shard_of(a, n_shards), np.full(len(a), NO_ID if ids[k] is None else ids[k]), set()
-                    for s in np.unique(who):
-                        m = np.flatnonzero(who == s)
-                        gone.update(at[x] for x in m[arrays[s].drops(a[m], b[m], mine[m])])
-                    return raw, gone
-
-                yield finish(batch, drops_of)
-
-        return docs.select(*names).mapInArrow(probe, schema)
-
-    packed = T.StructType([T.StructField(c, T.BinaryType()) for c in ("marks", "keep", "count")])
-
-    def pack(shard, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [shard[0]], "marks": [rows["high"].to_numpy(np.int64).tobytes()], "keep": [rows["keep_doc"].to_numpy(np.int64).tobytes()], "low": [rows["low"].to_numpy(np.int64).tobytes()]})
-
-    @F.pandas_udf("long")
-    def shard_id(low: pd.Series) -> pd.Series:
-        return pd.Series(_shard_of(low.to_numpy(np.int64).view(np.uint64), n_shards))
-
-    index = keys.groupBy(shard_id("low").alias("shard")).applyInPandas(pack, "shard long, marks binary, keep binary, low binary")
-    row_id, gone_id = free(names, "_row"), free(names, "_gone")
-    keyed = cut(docs.select(*names).withColumn(row_id, F.monotonically_increasing_id()))
-
-    def ask(batches):
-        for batch in batches:
-            low, high, ids, rows, at = [], [], [], [], []
-            for k, (i, row, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", row_id, "text")))):
-                _, lines, a, b = line_hashes(text, least_chars)
-                low += a
-                high += b
-                at += lines
-                ids += [NO_ID if i is None else i] * len(a)
-                rows += [row] * len(a)
-            low, high = np.array(low, np.uint64), np.array(high, np.uint64)
-            who, rest = _shard_of(low, n_shards), [np.array(x, np.int64) for x in (ids, rows, at)]
-            for s in np.unique(who):
-                m = who == s
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())] + [pa.array([x[m].tobytes()], pa.binary()) for x in (low, high, *rest)], ["shard", "low", "high", "ids", "rows", "at"])
-
-    def answer(batches):
-        held, shard = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["shard"] != held:
-                    held = r["shard"]
-                    shard = Shard(np.frombuffer(r["s_low"], np.uint64), np.frombuffer(r["marks"], np.uint64), np.frombuffer(r["keep"], np.int64), np.zeros(len(r["keep"]) // 8, np.int64))
-                gone = shard.drops(np.frombuffer(r["low"], np.uint64), np.frombuffer(r["high"], np.uint64), np.frombuffer(r["ids"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["rows"], np.int64)[gone]), pa.array(np.frombuffer(r["at"], np.int64)[gone])], [row_id, "at"])
-
-    probes = keyed.select("doc_id", row_id, "text").mapInArrow(ask, "shard long, low binary, high binary, ids binary, rows binary, at binary")
-    gone = probes.join(index.withColumnRenamed("low", "s_low"), "shard").mapInArrow(answer, f"{row_id} long, at long").groupBy(row_id).agg(F.collect_list("at").alias(gone_id))
-
-    def apply(batches):
-        for batch in batches:
-            lists = batch.column(gone_id).to_pylist()
-            yield finish(batch, lambda k, text: ((text or "").encode("utf-8", "surrogatepass").split(b"\n"), set(lists[k] or ())))
+        return pa.table([pa.array(texts, pa.string()) if c == "text" else table.column(c) for c in names] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return keyed.join(gone, row_id, "left").drop(row_id).mapInArrow(apply, schema)
+    return packed.select("block", "body").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(apply, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import blocks, chunks, cut, parts, text_buffers, unpacked
+from placewright.llm.common import blocks, chunks, cut, numbers, parts, text_buffers, unpacked
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import inverses, powers
 
@@ -377,7 +377,7 @@ def merged(judged_: DataFrame) -> DataFrame:
 
     def resolve(own: pa.Table, late: pa.Table) -> pa.Table:
         run, block, start = (_unpack(own.column(c), np.int64) for c in ("run", "blocks", "starts"))
-        hit = np.isin(run, _unpack(late.column("late"), np.int64))
+        hit = np.isin(run, _unpack(late.column("late"), np.int64) if late.num_rows else run[:0])
         return pa.table(list(runs_of(block[hit], start[hit])), ["block", "spot"])
 
     return held.select("shard", "run", "blocks", "starts").groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(resolve, "block long, spot long")
@@ -396,7 +396,7 @@ def removed(docs: DataFrame, split: int = SPLIT, most: int = BLOCK) -> DataFrame
     def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
         rows = unpacked(texts.column("body")[0])
         data, offsets = texts_of(rows)
-        spot, mark = gone.column("spot").to_numpy(), np.zeros(len(data) + LENGTH + 129, np.int32)
+        spot, mark = numbers(gone, "spot"), np.zeros(len(data) + LENGTH + 129, np.int32)
         np.add.at(mark, spot >> 7, 1)
         np.add.at(mark, (spot >> 7) + (spot & 127) + LENGTH, -1)
         bad = np.cumsum(mark)[: len(data)] > 0

@@ -116,7 +116,7 @@ def brute_lines(docs, least_chars=20, least_docs=3):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "shard_keys": 2}])
+@pytest.mark.parametrize("limits", [{}, {"shard_keys": 2, "group": 1, "most": 3000}])
 def test_line_dedup(small, odd, none, limits):
     for docs in (small, odd):
         out = lines.dedup(docs, **limits).withColumn("kept", F.sha2(F.col("text").cast("binary"), 256))
@@ -135,8 +135,9 @@ def test_perfect_hash():
 
 def test_shard_with_equal_halves():
     low, high = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64)
-    s = lines.Shard(low, high, np.array([10, 20, 30]), np.array([3, 3, 3]))
-    assert s.drops(np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 7, 3], np.uint64), np.array([9, 19, 0, 30])).tolist() == [True, True, False, False]
+    s = lines.Shard(low, high, np.array([3, 4, 5]), np.array([10, 20, 30]))
+    count, keep = s.look(np.array([5, 5, 5, 9, 8], np.uint64), np.array([1, 2, 7, 3, 1], np.uint64))
+    assert count.tolist() == [3, 4, 0, 5, 0] and keep.tolist()[:2] == [10, 20] and keep[3] == 30
 
 
 # 3
