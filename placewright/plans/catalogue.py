@@ -339,12 +339,18 @@ SQL["spatial_candidates"] = f"{WITH}, {_SUP}, d AS (SELECT id, s, {distance_sql(
 
 @query
 def one_to_one_match(spark, sf_dir):
-    """Greedy matching; tests hold it against the loop."""
     left = places(spark, sf_dir).select("id", F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"))
     pairs = conflate.near_pairs(left, _suppliers(spark, sf_dir), 400.0).select("id", "s", "dist")
     return conflate.one_to_one(pairs, ["id"], ["s"], [F.col("dist")]).select("id", "s", F.round("dist", 3).alias("dist"))
 
 
+SQL["one_to_one_match"] = f"""WITH RECURSIVE places AS ({PLACES_SQL}), {_SUP}, d AS (SELECT id, s, {distance_sql('lon', 'lat', 'r_lon', 'r_lat')} AS dist FROM places CROSS JOIN s),
+p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY dist, id, s) AS k FROM d WHERE dist <= 400),
+g AS (SELECT CAST(0 AS BIGINT) AS k, '' AS id, '' AS s, CAST(0 AS DOUBLE) AS dist, FALSE AS took, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS ss
+  UNION ALL SELECT p.k, p.id, p.s, p.dist, NOT (list_contains(ids, p.id) OR list_contains(ss, p.s)), CASE WHEN list_contains(ids, p.id) OR list_contains(ss, p.s) THEN ids ELSE list_append(ids, p.id) END, CASE WHEN list_contains(ids, p.id) OR list_contains(ss, p.s) THEN ss ELSE list_append(ss, p.s) END FROM g JOIN p ON p.k = g.k + 1)
+SELECT id, s, round(dist, 3) AS dist FROM g WHERE took"""
+
+
 @query
 def conflation(spark, sf_dir):
     """Fuzzy names have no SQL twin; tests pin the pairs."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ CSV = ["name", "name_ar", "category", "phone", "web_presence", "website", "addre
 
 
 def leads_csv(leads: DataFrame, path: str) -> None:
-    """A CSV for spreadsheets: byte-order mark, fixed columns, empty for null. Leads are cut to a limit, so it is one file."""
+    """A CSV for spreadsheets: byte-order mark, fixed columns, empty for null. One file, written row by row from one partition at a time."""
     out = leads.withColumns({"why": F.array_join("reasons", "; "), "maps_url": maps_url(F.col("lat"), F.col("lon"))}).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV])
-    out.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
+    with open(path, "w", newline="", encoding="utf-8-sig") as file:
+        lines = csv.writer(file, lineterminator="\n")
+        lines.writerow(CSV)
+        lines.writerows(out.toLocalIterator())
 
 
 def leads_table(leads: DataFrame, path: str) -> None:
