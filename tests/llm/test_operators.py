@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables, and on odd rows and empty tables."""
 
+import functools
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from placewright.llm import contamination, fingerprints, html, language, licenses, lines, mixing, ngram_join, perfect_hash, suffix_dedup, toxicity
@@ -456,6 +458,45 @@ def test_fingerprints(small, odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_fingerprint(text):
+    """By the definition, with the standard XXH64 in place of the engine's function."""
+    bits, mask = fingerprints.POS_BITS, (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else (x[0] & (1 << 8 * x[1]) - 1).to_bytes(x[1], "little"), seed), xs, 42)
+    words = [h(w.encode()) for w in re.split("[ \t\n\x0b\f\r]+", text or "") if w]
+    k = fingerprints.K
+    kmers = [h(*[(w, 8) for w in words[i : i + k]]) for i in range(len(words) - k + 1)] if len(words) >= k else [functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed), words, 42)] * bool(words)
+    seen, entries = Counter(), []
+    for place, x in enumerate(kmers):
+        x = (x << bits | place) & mask
+        entries.append((x, seen[x >> bits]))
+        seen[x >> bits] += 1
+    out = []
+    for j in range(fingerprints.M):
+        keys = [signed(h((x >> bits, 8), (o, 4), (j, 4)) & ~fingerprints._POS & mask | x & fingerprints._POS) for x, o in entries]
+        if not keys:
+            out.append(42)
+            continue
+        two = sorted((min(keys), max(keys)), key=lambda x: x & fingerprints._POS)
+        out.append(h(*[(x >> bits, 8) for x in two]) & 0xFFFFFFFF)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_fingerprints_against_brute_force(small, odd):
+    """Every signature and likeness, also of repeated k-mers, short and empty texts."""
+    for docs in (small, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        texts = {d: t or "" for d, t in pairs_of(docs) if len(t or "") < 30_000}
+        order = sorted(pairs_of(docs), reverse=True)
+        after = {d: t or "" for (d, _), (_, t) in zip(order, order[1:] + order[:1])}
+        like = lambda a, b: sum(a[8 * i : 8 * i + 8] == b[8 * i : 8 * i + 8] for i in range(fingerprints.M)) / fingerprints.M
+        for r in fingerprints.digest(docs).collect():
+            d = r["doc_id"]
+            if d in texts and len(after[d]) < 30_000:
+                t, n = texts[d], len(texts[d]) // 3
+                own, edited, following = brute_fingerprint(t), brute_fingerprint(t[: len(t) - n] + after[d][:n]), brute_fingerprint(after[d])
+                assert (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) == (own, edited, like(own, edited), like(own, following))
+
+
 def test_occurrences(spark):
     texts = ["a b c d", "a b a b a b a b", "x y", "", "a b c a b c a b c"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fingerprints.numbered_kmers(F.col("t")).alias("e"))
