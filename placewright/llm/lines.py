@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from placewright.llm.common import WHITE, blocks, cut, numbers, parts, unpacked
 from placewright.llm.perfect_hash import PerfectHash
 
-BLOCK = 4 << 20
-SHARD_KEYS = 200_000
+BLOCK = 1 << 20
+SHARD_KEYS = 100_000
 GROUP = 1_000_000
 NO_ID = -(1 << 63)
 
