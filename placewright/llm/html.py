@@ -11,6 +11,8 @@ for each place how many pages have one there that recurs. What is template goes
 * In a page without these, the main part is the smallest element that holds half the page's text; of it, what is in it and what holds it
   only subtrees on half of the host's pages go, copies of a page counted once.
 
+An element whose text is all in one child is not counted apart from it.
+
 Two things counts cannot show. Elements and roles that HTML itself sets apart from the content (``ASIDE``) and reader comments, which
 differ by page, always go. At places that fewer than ``MANY`` pages of a host have, class and id names of menus, notices, adverts and
 the like (``UNWANTED``) stand in for counts; on larger hosts names decide nothing there. Inside an article only names of adverts,
@@ -61,8 +63,8 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\u00a0]+")
-#: Zones of a page: around its main part, in the part that holds most of its text, in an article or main element.
-AROUND, BULK, ARTICLE = 0, 1, 2
+#: Zones of a page: around its main part, in the part that holds most of its text, in an article or main element; and the page itself.
+AROUND, BULK, ARTICLE, PAGE = 0, 1, 2, 3
 
 
 class Node:
@@ -220,7 +222,8 @@ def hash_subtrees(root: Node) -> list[Node]:
         while node is not bulk:
             node = next(k for k in node.kids if isinstance(k, Node) and k.size >= half)
             node.zone = BULK
-    return [x for x in nodes if x.kids and x.size and id(x) not in around and (x.zone != BULK or x.size < root.size) and removable(x)]
+    inner = lambda x: any(isinstance(k, Node) and k.size == x.size and removable(k) for k in x.kids)  # noqa: E731  one child holds all its text and stands for it
+    return [x for x in nodes if x.kids and x.size and id(x) not in around and (x.zone != BULK or x.size < root.size) and removable(x) and not inner(x)]
 
 
 def worded(text: str) -> bool:
@@ -239,7 +242,9 @@ def key_of(x: Node) -> int:
 
 
 def place_of(x: Node) -> int:
-    return x.place - (1 << 64) if x.place >> 63 else x.place
+    """A place as a signed number, with its zone in the two lowest bits."""
+    h = x.place & ~3 | x.zone
+    return h - (1 << 64) if h >> 63 else h
 
 
 def unwanted(node: Node, counted: bool) -> bool:
@@ -257,14 +262,14 @@ def unwanted(node: Node, counted: bool) -> bool:
 
 
 def main_text(source: str | None, template: frozenset[int] = frozenset(), counted: frozenset[int] = frozenset()) -> str:
-    """Text of a page, of whose subtrees those of the keys ``template`` go; ``counted`` are places that counts can judge."""
+    """Text of a page, of whose subtrees those of the keys ``template`` go; ``counted`` are keys at places that counts can judge."""
     root = parse(source or "")
     may_go = {id(x) for x in hash_subtrees(root)} if template or counted else set()
     gone: set[int] = set()
     tops, mains, todo = [], [], [(root, False, False)]
     while todo:
         node, in_article, in_main = todo.pop()
-        if node is not root and (id(node) in may_go and key_of(node) in template or unwanted(node, place_of(node) in counted)):
+        if node is not root and (id(node) in may_go and key_of(node) in template or unwanted(node, key_of(node) in counted)):
             gone.add(id(node))
             continue
         if node.tag == "article" and not in_article:
@@ -315,7 +320,7 @@ def host_of(url: str | None) -> str:
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """block, page (row in its block), whole (mark of the page), host, place, zone, key of every subtree that may be template; and of every page a row of zone -1."""
+    """block, page (row in its block), host, place, key, whole (in a page's main bulk the page's mark) of every subtree that may be template; and of every page a row of place ``PAGE``."""
 
     def run(batches):
         for batch in batches:
@@ -326,23 +331,24 @@ def candidates(packed: DataFrame) -> DataFrame:
                     host, root = host_of(url), parse(source or "")
                     own = hash_subtrees(root)
                     whole = key_of(root)
-                    out += [(block, page, whole, host, 0, -1, 0), *{(block, page, whole, host, place_of(x), x.zone, key_of(x)) for x in own}]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "page", "whole", "host", "place", "zone", "key"])
+                    out += [(block, page, host, PAGE, 0, whole), *{(block, page, host, place_of(x), key_of(x), whole if x.zone == BULK else 0) for x in own}]
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "page", "host", "place", "key", "whole"])
 
-    return packed.select("block", "body").mapInArrow(run, "block long, page int, whole long, host string, place long, zone int, key long")
+    return packed.select("block", "body").mapInArrow(run, "block long, page int, host string, place long, key long, whole long")
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """host, place, zone, key, gone (template or not) of subtrees that are template or at places that counts can judge."""
-    copies = found.groupBy("host", "place", "zone", "key", "whole").agg(F.count("*").alias("n"))
-    each = copies.groupBy("host", "place", "zone", "key").agg(F.sum("n").alias("n"), F.count("*").alias("unlike"))
-    sizes = each.where("zone < 0").select("host", F.col("unlike").alias("pages"))
-    places = each.where("zone >= 0").groupBy("host", "place", "zone").agg(F.sum("n").alias("had"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
-    rows = each.where("zone >= 0").join(places, ["host", "place", "zone"]).join(sizes, "host")
-    often, slot = F.col("n") >= LEAST_PAGES, (F.col("zone") == AROUND) & (F.col("had") >= MANY)
-    gone = F.when(F.col("zone") == BULK, (F.col("unlike") >= LEAST_PAGES) & (F.col("unlike") >= MAIN_SHARE * F.col("pages"))).otherwise(often | slot & (F.col("again") >= SHARE * F.col("had")))
-    return rows.select("host", "place", "zone", "key", gone.alias("gone"), slot.alias("slot")).where("gone OR slot")
+    """host, key, gone (template or not) of subtrees that are template or at places that counts can judge."""
+    copies = found.groupBy("host", "place", "key", "whole").agg(F.count("*").alias("n"))
+    each = copies.groupBy("host", "place", "key").agg(F.sum("n").alias("n"), F.count("*").alias("unlike"))
+    sizes = each.where(F.col("place") == PAGE).select("host", F.col("unlike").alias("pages"))
+    each = each.where(F.col("place") != PAGE)
+    places = each.groupBy("host", "place").agg(F.sum("n").alias("had"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
+    rows, zone = each.join(places, ["host", "place"]).join(sizes, "host"), F.col("place").bitwiseAND(F.lit(3))
+    often, slot = F.col("n") >= LEAST_PAGES, (zone == AROUND) & (F.col("had") >= MANY)
+    gone = F.when(zone == BULK, (F.col("unlike") >= LEAST_PAGES) & (F.col("unlike") >= MAIN_SHARE * F.col("pages"))).otherwise(often | slot & (F.col("again") >= SHARE * F.col("had")))
+    return rows.select("host", "key", gone.alias("gone"), slot.alias("slot")).where("gone OR slot")
 
 
 def extract(pages: DataFrame, most: int = BLOCK) -> DataFrame:
@@ -350,16 +356,16 @@ def extract(pages: DataFrame, most: int = BLOCK) -> DataFrame:
     names = [c for c in pages.columns if c not in ("text", "n_chars", "n_template")]
     packed = blocks(pages.select(*names), "html", most)
     found = cut(candidates(packed))
-    judged = found.where("zone >= 0").join(cut(templates(found)), ["host", "place", "zone", "key"]).select("block", "page", "place", "key", "gone", "slot")
+    judged = found.where(F.col("place") != PAGE).join(cut(templates(found)), ["host", "key"]).select("block", "page", "key", "gone", "slot")
     schema = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
 
     def run(rows: pa.Table, judged: pa.Table) -> pa.Table:
         t, gone, counted = unpacked(rows.column("body")[0]), {}, {}
-        for page, place, key, out, slot in zip(*(numbers(judged, c).tolist() for c in ("page", "place", "key", "gone", "slot"))):
+        for page, key, out, slot in zip(*(numbers(judged, c).tolist() for c in ("page", "key", "gone", "slot"))):
             if out:
                 gone.setdefault(page, set()).add(key)
             if slot:
-                counted.setdefault(page, set()).add(place)
+                counted.setdefault(page, set()).add(key)
         texts = [main_text(h, frozenset(gone.get(i, ())), frozenset(counted.get(i, ()))) for i, h in enumerate(t.column("html").to_pylist())]
         return pa.table([t.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(gone.get(i, ())) for i in range(len(texts))], pa.int64())], [*names, "text", "n_chars", "n_template"])
 
