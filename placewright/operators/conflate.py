@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,15 +52,24 @@ def _names(*cols: Column) -> Column:
     return match_variants(*cols)
 
 
-def candidate_pairs(places: DataFrame, pois: DataFrame) -> DataFrame:
-    """id, osm_type, osm_id, similarity, dist of pairs near enough and alike enough; a higher bar where scripts differ."""
+def _sides(places: DataFrame, pois: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right): keys of the places and objects that have names, and all that their pairs are judged by."""
     left = places.select("id", F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"), _names(F.col("name_primary"), F.col("name_ar"), F.col("name_en")).alias("l_names"), F.coalesce(has_arabic(F.col("name_primary")), F.lit(False)).alias("l_ar"))
     own = pois.where(is_poi())
     right = own.select("osm_type", "osm_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), _names(tag("name"), tag("name:ar"), tag("name:en")).alias("r_names"), F.coalesce(has_arabic(tag("name")), F.lit(False)).alias("r_ar"))
-    pairs = near_pairs(left.where(F.size("l_names") > 0), right.where(F.size("r_names") > 0), MATCH_M)
-    pairs = pairs.withColumn("similarity", best_set_ratio(F.col("l_names"), F.col("r_names")))
+    return left.where(F.size("l_names") > 0), right.where(F.size("r_names") > 0)
+
+
+def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs near enough and alike enough, with similarity and dist; a higher bar where scripts differ."""
+    pairs = near_pairs(left, right, MATCH_M).withColumn("similarity", best_set_ratio(F.col("l_names"), F.col("r_names")))
     bar = F.when(F.col("l_ar") == F.col("r_ar"), SAME_SCRIPT).otherwise(CROSS_SCRIPT)
-    return pairs.where(F.col("similarity") >= bar).select("id", "osm_type", "osm_id", "similarity", "dist")
+    return pairs.where(F.col("similarity") >= bar)
+
+
+def candidate_pairs(places: DataFrame, pois: DataFrame) -> DataFrame:
+    """id, osm_type, osm_id, similarity, dist of pairs near enough and alike enough."""
+    return _alike(*_sides(places, pois)).select("id", "osm_type", "osm_id", "similarity", "dist")
 
 
 def _tied(ranked: DataFrame, left: list[str], right: list[str]) -> DataFrame:
@@ -105,9 +115,91 @@ def one_to_one(pairs: DataFrame, left: list[str], right: list[str], order: list[
     return rest if taken is None else taken
 
 
+def _kinds(side: DataFrame, keys: list[str], kind: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """(members, kinds): keys whose rows are alike in all other columns are one kind, named by a number. A member has its rank
+    ``at`` in the order of the keys, a kind its number of members ``n`` and a row for each row that one of its keys has."""
+    rows = side.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*[c for c in side.columns if c not in keys]))).alias("rows"))
+    rows, own = cut(rows.withColumn("_i", F.monotonically_increasing_id())), W.partitionBy("rows")
+    members = cut(rows.withColumns({kind: F.min("_i").over(own), n: F.count("*").over(own), "at": F.row_number().over(own.orderBy(*keys))}))
+    return members.select(kind, "at", *keys), members.where("at = 1").select(kind, n, F.explode("rows").alias("_row")).select(kind, n, "_row.*")
+
+
+def _connected(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of kinds l, r with the least l of all they are connected with, as ``label``."""
+    now, loose = pairs.withColumn("label", F.col("l")), True
+    while loose:
+        for by in ("r", "l", "r", "l"):
+            now = now.withColumn("label", F.min("label").over(W.partitionBy(by)))
+        now = cut(now.withColumn("_loose", F.max("label").over(W.partitionBy("r")) > F.min("label").over(W.partitionBy("r"))))
+        loose, now = not now.where("_loose").isEmpty(), now.drop("_loose")
+    return now
+
+
+def _settle(pairs: pa.Table, members: pa.Table) -> pa.Table:
+    """Connected kinds of equal rank: lefts in the order of their keys each take the first right left of the kinds they are paired with."""
+    reach: dict[int, list[int]] = {}
+    for x, y in zip(pairs.column("l").to_pylist(), pairs.column("r").to_pylist()):
+        reach.setdefault(x, []).append(y)
+    lefts, queues = [], {}
+    for left, kind, at, nth in sorted(zip(*(members.column(c).to_pylist() for c in ("left", "kind", "at", "nth"))), key=lambda m: -m[3]):
+        lefts.append((nth, kind, at)) if left else queues.setdefault(kind, []).append((nth, at))  # the first is last, for pop
+    out = []
+    for _, kind, at in reversed(lefts):
+        reach[kind] = [y for y in reach[kind] if queues[y]]
+        if reach[kind]:
+            first = min(reach[kind], key=lambda y: queues[y][-1])
+            out.append((kind, first, at - 1, queues[first].pop()[1] - 1))
+    l, r, ul, ur = zip(*out)
+    n = len(out)
+    return pa.table([pa.array(l, pa.int64()), pa.array(r, pa.int64()), *[pa.array([pairs.column(c)[0].as_py()] * n, pa.float64()) for c in ("worse", "dist")], pa.array(ul, pa.int64()), pa.array(ur, pa.int64()), pa.array([1] * n, pa.int64())], ["l", "r", "worse", "dist", "ul", "ur", "k"])
+
+
+def _match_kinds(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """l, r, worse, dist, ul, ur, k: the k members of l after its first ul go to the k of r after its first ur, in order.
+
+    ``pairs``: l, r, worse, dist, nl, nr, once each. A kind's members are taken in the order of their keys, so what is left of it is
+    a number. Each round takes pairs of kinds that are first on both sides: alone where neither has an equal one, else by
+    ``_settle`` together with all they are connected with, once every one of these is first on both sides.
+    """
+    taken, rounds = None, 0
+    rest = cut(pairs.withColumns({"ul": F.lit(0).cast("long"), "ur": F.lit(0).cast("long")}))
+    while taken is None or not rest.isEmpty():
+        best = rest
+        for by, rank, n in (("l", "_l", "_nl"), ("r", "_r", "_nr")):
+            best = best.withColumn(rank, F.rank().over(W.partitionBy(by).orderBy("worse", "dist"))).withColumn(n, F.count_if(F.col(rank) == 1).over(W.partitionBy(by)))
+        best = best.where("_l = 1 AND _r = 1")
+        best = cut(best.withColumn("_shut", (F.count("*").over(W.partitionBy("l")) == F.col("_nl")) & (F.count("*").over(W.partitionBy("r")) == F.col("_nr"))))
+        now = best.where("_nl = 1 AND _nr = 1").select("l", "r", "worse", "dist", "ul", "ur", F.least("nl", "nr").alias("k"))
+        tied = best.where("_nl > 1 OR _nr > 1")
+        if not tied.isEmpty():
+            tied = _connected(tied)
+            tied = cut(tied.join(tied.groupBy("label").agg(F.bool_and("_shut").alias("_all")).where("_all"), "label"))
+            of = lambda kinds, by, used, keys: kinds.join(tied.select("label", by, used).distinct(), by).where(F.col("at") > F.col(used)).select(F.col("label").alias("of"), F.lit(by == "l").alias("left"), F.col(by).alias("kind"), "at", F.row_number().over(W.partitionBy("label").orderBy(*keys)).alias("nth"))
+            both = of(lefts, "l", "ul", left).unionByName(of(rights, "r", "ur", right))
+            now = now.unionByName(tied.select("label", "l", "r", "worse", "dist").groupBy("label").cogroup(both.groupBy("of")).applyInArrow(_settle, now.schema))
+        now = cut(now)
+        taken, rounds = now if taken is None else taken.unionByName(now), rounds + 1
+        if rounds % 20 == 0:
+            taken = cut(taken)
+        for by, used, n in (("l", "ul", "nl"), ("r", "ur", "nr")):
+            rest = rest.join(now.groupBy(by).agg(F.sum("k").alias("_k")), by, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+            rest = rest.withColumns({used: F.col(used) + F.col("_k"), n: F.col(n) - F.col("_k")}).where(F.col(n) > 0).drop("_k")
+        rest = cut(rest)
+    return taken
+
+
 def conflate(places: DataFrame, pois: DataFrame) -> DataFrame:
-    pairs = candidate_pairs(places, pois)
-    return one_to_one(pairs, ["id"], ["osm_type", "osm_id"], [F.desc("similarity"), F.col("dist")])
+    """id, osm_type, osm_id, similarity, dist: ``candidate_pairs`` taken one to one in the order of similarity, then dist, id and the
+    object's key. Places alike in position and names, and objects alike, are paired and matched as kinds, so none costs its square."""
+    left, right = ["id"], ["osm_type", "osm_id"]
+    sides = _sides(places, pois)
+    (lefts, l_kinds), (rights, r_kinds) = _kinds(sides[0], left, "l", "nl"), _kinds(sides[1], right, "r", "nr")
+    pairs = _alike(l_kinds, r_kinds).groupBy("l", "r", "nl", "nr").agg(F.min(F.struct((-F.col("similarity")).alias("worse"), "dist")).alias("_d"))
+    taken = _match_kinds(pairs.select("l", "r", "nl", "nr", "_d.*"), lefts, rights, left, right)
+    each = taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+    each = each.select("l", "r", (F.col("ul") + F.col("_i")).alias("at_l"), (F.col("ur") + F.col("_i")).alias("at_r"), (-F.col("worse")).alias("similarity"), "dist")
+    each = each.join(lefts.withColumnRenamed("at", "at_l"), ["l", "at_l"]).join(rights.withColumnRenamed("at", "at_r"), ["r", "at_r"])
+    return each.select(*left, *right, "similarity", "dist")
 
 
 def fill(places: DataFrame, matches: DataFrame, pois: DataFrame, now: Column) -> DataFrame:

@@ -169,6 +169,31 @@ def test_conflation_and_enrichment(spark, places):
     assert one(report)["matched"] == 1 and one(report)["name_ar_added"] == 1
 
 
+def test_conflation_of_kinds_equals_greedy(spark, monkeypatch):
+    import random
+
+    rnd, names = random.Random(0), ["red widget", "blue widget", "widget", "hot bolt"]
+    rows = {f"p{rnd.randint(0, 400):03}": (rnd.choice(names), 46.6 + rnd.choice([0, 0.0005, 0.001]), 24.6) for _ in range(80)}
+    objects = {("node" if rnd.random() < 0.5 else "way", rnd.randint(0, 300)): (46.6 + rnd.choice([0, 0.0005]), 24.6, {"name": rnd.choice(names), "shop": "x"}) for _ in range(60)}
+    places = corpus.conform(spark.createDataFrame([(i, *r) for i, r in rows.items()], "id string, name_primary string, lon double, lat double"))
+    pois = spark.createDataFrame([(*k, *o) for k, o in objects.items()], "osm_type string, osm_id long, lon double, lat double, tags map<string,string>")
+    want = greedy([((-r["similarity"], r["dist"]), r["id"], (r["osm_type"], r["osm_id"])) for r in conflate.candidate_pairs(places, pois).collect()])
+    paired, alike = [], conflate._alike
+    monkeypatch.setattr(conflate, "_alike", lambda left, right: paired.append(left.count() * right.count()) or alike(left, right))
+    got = conflate.conflate(places, pois)
+    assert sorted((r["id"], (r["osm_type"], r["osm_id"])) for r in got.collect()) == want
+    assert paired[0] <= 3 * len(names) * 2 * len(names)  # kinds meet, not rows
+
+
+def test_settle_takes_the_first_right_left():
+    import pyarrow as pa
+
+    pairs = pa.table({"l": [1, 1, 2], "r": [7, 8, 8], "worse": [-90.0] * 3, "dist": [5.0] * 3})
+    members = [(True, 2, 1, 1), (True, 1, 1, 2), (True, 2, 2, 3), (True, 1, 2, 4), (False, 8, 1, 1), (False, 7, 1, 2), (False, 8, 2, 3)]
+    out = conflate._settle(pairs, pa.Table.from_pylist([dict(zip(("left", "kind", "at", "nth"), m)) for m in members]))
+    assert [(r["l"], r["r"], r["ul"], r["ur"]) for r in out.to_pylist()] == [(2, 8, 0, 0), (1, 7, 0, 0), (2, 8, 1, 1)]
+
+
 def test_conflation_query_takes_all_objects(spark):
     from placewright.plans import catalogue
 
