@@ -128,13 +128,13 @@ def smallest_hashed(df: DataFrame, group: str, k: int, seed: int, groups: int =
     return out
 
 
-def blocks(docs: DataFrame, text: str, most: int) -> DataFrame:
-    """block, size (bytes of its texts), body (some ``most`` bytes of whole rows as a compressed Arrow stream), written."""
+def blocks(docs: DataFrame, text: str, most: int, level: int = 1) -> DataFrame:
+    """block, size (bytes of its texts), body (some ``most`` bytes of whole rows as an Arrow stream, compressed at a zstd ``level``), written."""
 
     def body(held: list) -> tuple[int, bytes]:
         table = pa.Table.from_batches(held)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
             out.write_table(table.combine_chunks())
         return sink.getvalue().to_pybytes()
 

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from placewright.llm.common import blocks, cut, numbers, unpacked
 
 LEAST_PAGES, MANY, SHARE, MAIN_SHARE = 5, 40, 0.1, 0.5
-BLOCK = 4 << 20
+BLOCK, LEVEL = 4 << 20, 5
 # HTML elements by their role.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -354,7 +354,7 @@ def templates(found: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, most: int = BLOCK) -> DataFrame:
     """``pages`` (with url and html) and ``text``, ``n_chars``, ``n_template`` (subtrees of templates found); html itself is kept."""
     names = [c for c in pages.columns if c not in ("text", "n_chars", "n_template")]
-    packed = blocks(pages.select(*names), "html", most)
+    packed = blocks(pages.select(*names), "html", most, LEVEL)  # written and shuffled: most of what is on disk
     found = cut(candidates(packed))
     judged = found.where(F.col("place") != PAGE).join(cut(templates(found)), ["host", "key"]).select("block", "page", "key", "gone", "slot")
     schema = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import os
 import random
 import re
 import time
@@ -335,6 +336,14 @@ def test_html_repeated_articles_keep_their_words(spark):
     assert {r["text"] for r in html.extract(df).collect()} == {"T\n\none\n\ntwo\n\na\n\n1\n\nbare\n\nk"}
 
 
+def test_html_blocks_take_little_disk(spark, monkeypatch):
+    pages, made, blocks = "/root/testdata/sf0.1/pages.parquet", [], html.blocks
+    monkeypatch.setattr(html, "blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    html.extract(spark.read.parquet(pages))
+    packed = made[0].agg(F.sum(F.length("body"))).first()[0]
+    assert 2 * packed <= 1.25 * os.path.getsize(pages)  # written once and shuffled once
+
+
 def test_html_slots_against_a_plain_count(spark):
     """On a host of many pages counts alone find slots, whatever they are called; keys that the operator finds are those of a plain count."""
     rnd = random.Random(12)
