@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Sessions and paths of the tables cut since the innermost ``settled`` function began.
+_made: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_made", default=None)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -42,13 +49,63 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Spark deletes the shuffle files of a query as it ends, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_dir(spark)}/placewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _made.get() is not None:
+        _made.get().append((spark, path))
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._placewright_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(f: Callable) -> Callable:
+    """``f``, with its result (a frame, or a tuple of frames and other values) cut and all other tables that it cut deleted.
+
+    For functions that hand out nothing else which reads those tables.
+    """
+
+    def written(x):
+        return cut(x) if isinstance(x, DataFrame) and "_placewright_path" not in vars(x) else x
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        own: list[tuple[SparkSession, str]] = []
+        token, kept = _made.set(own), set()
+        try:
+            out = f(*args, **options)
+            out = tuple(map(written, out)) if isinstance(out, tuple) else written(out)
+            kept = {vars(x)["_placewright_path"] for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)}
+        finally:
+            _made.reset(token)
+            for spark, path in own:
+                if path not in kept:
+                    delete(spark, path)
+        if _made.get() is not None:
+            _made.get().extend(x for x in own if x[1] in kept)
+        return out
+
+    return run
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

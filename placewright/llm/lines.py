@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewright.llm.common import WHITE, blocks, cut, numbers, parts, unpacked
+from placewright.llm.common import WHITE, blocks, cut, numbers, parts, settled, unpacked
 from placewright.llm.perfect_hash import PerfectHash
 
 BLOCK = 1 << 20
@@ -131,7 +131,7 @@ def dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, shard_key
     """``docs`` with ``text`` of the kept lines, ``n_lines`` and ``n_dropped``."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     packed = blocks(docs.select(*names), "text", most)
-    found = frequent(keys_of_blocks(packed, least_chars), least_docs, shard_keys, group)
+    found = settled(lambda: frequent(keys_of_blocks(packed, least_chars), least_docs, shard_keys, group))()
     schema = T.StructType([T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def apply(rows: pa.Table, found: pa.Table) -> pa.Table:

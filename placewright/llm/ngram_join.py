@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import chunks, cut, free, numbered, text_buffers
+from placewright.llm.common import chunks, cut, free, numbered, settled, text_buffers
 from placewright.llm.perfect_hash import mix
 from placewright.llm.shingles import shingle_sets
 
@@ -163,9 +163,9 @@ def subset(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(side(ids), key, "left_semi")
 
 
+@settled
 def verify(pairs: DataFrame, leads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs a, b those that link, by overlap of whole sets."""
-    pairs = cut(pairs.select("a", "b").distinct())
+    """Of distinct pairs a, b those that link, by overlap of whole sets."""
     nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     own = subset(leads, nodes, "node")
     full = cut(whole_sets(docs, own, width, percent).select("node", "low"))
@@ -186,6 +186,7 @@ def verify(pairs: DataFrame, leads: DataFrame, docs: DataFrame, width: int, perc
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
 
 
+@settled
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (least node of its component) of all nodes with an edge but the roots. ``edges``: a, b."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -223,6 +224,7 @@ def all_columns(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "low").mapInArrow(run, "token long, node long")
 
 
+@settled
 def block_links(hot_rows: DataFrame, roots: DataFrame, docs: DataFrame, leads: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: roots that some link between their rows joins, among rows that share hot columns.
 
@@ -275,9 +277,9 @@ def linked_roots(xs: list, ys: list, percent: int) -> set:
     return {(int(p), int(q)) for p, q in np.unique(np.sort(pairs, axis=1), axis=0) if p != q}
 
 
-def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, lead (least row)) of all nodes, and node, root of those that link. ``found``: a table made by ``sets``."""
-    leads = cut(found.where("n > 0").groupBy("node").agg(F.min("row").alias("lead"), F.max("n").alias("n")))
+@settled
+def candidates(docs: DataFrame, found: DataFrame, leads: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """a, b of the pairs to verify; token, node, n of columns that are still hot; number of these columns."""
     copies = cut(found.where("n > 0").select("node", "row").join(leads.select("node", "lead"), "node").where("row <> lead").select("row"))
     reps = found.where("n > 0").join(side(copies), "row", "left_anti").select("node", "n", "low")
     none = np.zeros(0, np.uint64)
@@ -314,37 +316,51 @@ def links(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[
         centres = rows.groupBy("token", "band").agg(F.min("node").alias("a"))
         near = centres.select("token", "a", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
         left = left.union(rows.join(near, ["token", "band"]).where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    edges = verify(left, leads, docs, width, percent)
-    roots = components(edges)
-    if n_still:
-        more = block_links(hot_rows, roots, docs, leads, width, percent)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    return leads.select("node", "lead"), cut(roots)
+    return left.distinct(), hot_rows, n_still
+
+
+@settled
+def paired(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """row, doc_id, n, node of all rows; node, lead (least row), n of all nodes; then as ``candidates``. The hashes of prefixes go."""
+    found = cut(sets(docs, width, percent))
+    leads = cut(found.where("n > 0").groupBy("node").agg(F.min("row").alias("lead"), F.max("n").alias("n")))
+    pairs, hot_rows, n_still = candidates(docs, found, leads, width, percent)
+    return found.select("row", "doc_id", "n", "node"), leads, pairs, hot_rows, n_still
 
 
+@settled
 def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """row, doc_id, n, root (a node that names the row's class; null without shingles). ``docs``: row, doc_id, text."""
-    found = cut(sets(docs, width, percent))
-    _, roots = links(docs, found, width, percent)
+    found, leads, pairs, hot_rows, n_still = paired(docs, width, percent)
+    roots = components(verify(pairs, leads, docs, width, percent))
+    if n_still:
+        more = block_links(hot_rows, roots, docs, leads, width, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     roots = side(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
     own = found.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return cut(own.join(roots, "node", "left").select("row", "doc_id", "n", F.coalesce("root", "node").alias("root")))
+    return own.join(roots, "node", "left").select("row", "doc_id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    own = members(numbered(docs.select("doc_id", "text"), "row"), width, percent)
+    own = settled(lambda: members(numbered(docs.select("doc_id", "text"), "row"), width, percent))()
     least = cut(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("k")))
     out = own.where("root IS NOT NULL").join(side(least.where("k > 1").select("root", "component")), "root", "left")
     out = out.unionByName(own.where("root IS NULL").withColumn("component", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+@settled
+def spare_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """row of every row but the first of its class. ``docs``: row, doc_id, text."""
+    own = members(docs, width, percent)
+    best = own.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
+    return own.join(side(cut(best.where("k > 1"))), "root").where("row <> first").select("row")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id, nulls last; of several such rows the first. Rows without words all stay."""
     row = free(docs.columns, "_row")
     keyed = numbered(docs, row)
-    own = members(keyed.select(F.col(row).alias("row"), "doc_id", "text"), width, percent)
-    best = own.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
-    gone = own.join(side(cut(best.where("k > 1"))), "root").where("row <> first").select(F.col("row").alias(row))
-    return keyed.join(side(cut(gone)), row, "left_anti").select(*docs.columns)
+    gone = spare_rows(keyed.select(F.col(row).alias("row"), "doc_id", "text"), width, percent)
+    return keyed.join(side(gone).withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)

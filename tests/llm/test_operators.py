@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placewright.llm import contamination, fingerprints, html, language, licenses, lines, mixing, ngram_join, perfect_hash, suffix_dedup, toxicity
+from placewright.llm import common, contamination, fingerprints, html, language, licenses, lines, mixing, ngram_join, perfect_hash, suffix_dedup, toxicity
 
 sha = lambda s: hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
 lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -89,6 +89,36 @@ def test_ngram_join_empty(none, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {1, 4, 5, 6, 10, 12}
 
 
+def test_disk_holds_only_what_results_read(spark, odd):
+    """Tables of near copies and of line dedup go when nothing reads them any more, shuffle files when their query ends."""
+    made = lambda: set(os.listdir(common.scratch_dir(spark)))
+    before = made()
+    kept = ngram_join.keep_one(odd)
+    assert len(made() - before) == 2 and kept.count() < odd.count()  # numbered rows, rows to drop
+    before = made()
+    dropped = lines.dedup(odd)
+    assert len(made() - before) == 2 and dropped.count() == odd.count()  # packed rows, frequent lines
+
+    @common.settled
+    def fails():
+        common.cut(spark.range(3))
+        raise ValueError
+
+    before = made()
+    pytest.raises(ValueError, fails)
+    assert made() == before
+
+    [local] = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for _, _, names in os.walk(local) for f in names if re.match("shuffle_.*data$", f)}
+    before = shuffled()
+    sevens = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if shuffled() - before:
+            time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(common.CLEANUP) == "false"
+    assert rows(sevens, "k") == [(k,) for k in range(7)]
+
+
 def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
     rnd = random.Random(8)
     a, b, c = (" ".join(f"w{rnd.randint(0, 900)}" for _ in range(60)) for _ in range(3))
